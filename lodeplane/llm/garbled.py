@@ -94,10 +94,9 @@ def _readings(word: str) -> list[tuple[str, str, str]]:
                     seen[k] = fixed if fixed and len(raw) - kept <= 0.34 * odd and not fixed.isascii() else None
             fixed = seen[k]
             if fixed and true == "utf-8" and page in ("cp1252", "cp1250", "latin-1") and (twice := _to_bytes(fixed, page)) and not twice.isascii():
-                try:
-                    out.append((page, "utf-8 twice", twice.decode("utf-8")))
-                except UnicodeDecodeError:
-                    pass
+                inner = twice.decode("utf-8", "ignore")
+                if not inner.isascii() and len(twice) - len(inner.encode()) <= 0.34 * sum(b > 127 for b in twice):
+                    out.append((page, "utf-8 twice", inner))
             if fixed and fixed != word and not any("\x80" <= c < "\xa0" for c in fixed):
                 out.append((page, true, fixed))
     return out
@@ -108,9 +107,13 @@ _COMMON = re.compile(r"^[\x00-\x7f\u00a0-\u017f\u0370-\u0481\u1e00-\u1eff\u2010-
 _BLANK = re.compile(r"[\u00a0\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
+#: C1 controls, long runs of the upper half of Latin-1, and capitals within Cyrillic words that begin small.
+_UNLIKELY = re.compile(r"[\u0080-\u009f]|[\u00a0-\u00ff]{4}|[\u0430-\u044f][\u0410-\u042f]{2}")
+
+
 def hard_evidence(text: str) -> bool:
     """Whether the first round must keep the text out of the language: words that are valid UTF-8 once more, or lost bytes within words."""
-    if _LOST_IN_WORD.search(text):
+    if _LOST_IN_WORD.search(text) or _UNLIKELY.search(text):
         return True
     for w in set(_WORD.findall(text)):
         if _ODD.search(w):
