@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import encode, garbled, leakage
+from lodeplane.llm import encode, garbled, leakage, syntax
 from lodeplane.sources.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, d, "files")).select("file_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.error_rates(table(spark, d, "files"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
@@ -41,5 +49,5 @@ def p8_mapping(spark: SparkSession, d: str) -> DataFrame:
     return garbled.learned_mapping(garbled.garbled_texts(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_restored, p8_mapping)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_restored, p8_mapping)}
 ORACLE: dict[str, str] = {}
