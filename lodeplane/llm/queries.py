@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import encode, garbled, leakage, syntax
+from lodeplane.llm import encode, garbled, handwritten, leakage, syntax
 from lodeplane.sources.tables import table
 
 
@@ -17,6 +17,14 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.error_rates(table(spark, d, "files"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.foreign_files(table(spark, d, "files"), table(spark, d, "repos")).select("file_id")
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.foreign_files(table(spark, d, "files"), table(spark, d, "repos")).groupBy("reason").agg(F.count("*").alias("files"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
@@ -49,5 +57,5 @@ def p8_mapping(spark: SparkSession, d: str) -> DataFrame:
     return garbled.learned_mapping(garbled.garbled_texts(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_restored, p8_mapping)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p5_reasons, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_restored, p8_mapping)}
 ORACLE: dict[str, str] = {}
