@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeplane.llm import encode, garbled, handwritten, leakage, syntax
+from lodeplane.llm import credentials, encode, garbled, handwritten, leakage, syntax
 from lodeplane.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, d, "files"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_files(table(spark, d, "files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_files(table(spark, d, "files")).select("file_id")
 
@@ -57,5 +65,5 @@ def p8_mapping(spark: SparkSession, d: str) -> DataFrame:
     return garbled.learned_mapping(garbled.garbled_texts(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p5_reasons, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_restored, p8_mapping)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_rates, p5_found, p5_reasons, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_restored, p8_mapping)}
 ORACLE: dict[str, str] = {}
