@@ -119,7 +119,7 @@ def secret_value(value: str, key: str = "") -> bool:
 # -- entries of key path, start and end of the value ------------------------------------------------------------------
 Entry = tuple[str, int, int]
 _LITERAL = r"(?:[rRbBfFuU]{0,2})(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<t>[^`\n]*)`)"
-_ASSIGNED = re.compile(r"(?P<key>[A-Za-z_][\w.-]*)[\"'`]?\]?\)?\s*(?::\s*[A-Za-z_][\w<>\[\]|., ]*?=|:=|=>|\|\||\?\?|[:=,]|\(|\s[Bb][Yy])\s*\(?\s*" + _LITERAL)
+_ASSIGNED = re.compile(r"(?P<key>[A-Za-z_][\w.-]*)[\"'`]?\]?\)?\s*(?::\s*[A-Za-z_][\w<>\[\]|., ]*?=|:=|=>|\|\||\?\?|[:=,]|\()(?=\s*\(?\s*" + _LITERAL + ")")
 _DEFAULT = re.compile(r"\$\{(?P<key>[A-Za-z_][\w.-]*):-?(?P<v>[^}\n]+)\}")
 _REMARK = re.compile(r"(?:(?:^|(?<=\s))(?:#|//|--|;|\*|<!--)|^\s*The\b)\s*(?P<key>[^\n`\"']{2,60}?)\s*[`\"']?(?P<v>[^\s`\"']{6,})[`\"']?\s*(?:\*/|-->)?\s*$", re.M)
 _ELEMENT = re.compile(r"<(?P<key>[A-Za-z][\w.-]*)>(?P<v>[^<\s]{6,})</(?P=key)>")
@@ -140,7 +140,7 @@ def source_entries(text: str, base: int = 0) -> Iterator[Entry]:
             yield key.replace(" ", "_"), base + m.start("v"), base + m.end("v")
 
 
-_KEY_VALUE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+)?(?P<key>[^\s=:#;\[\"'][^=:\n#]*?|//[^\s=]*:_\w+)[ \t]*[=:][ \t]*(?:\"(?P<d>[^\"\n]*)\"|'(?P<s>[^'\n]*)'|(?P<r>[^\n\r]*?))[ \t]*(?:[#;][^\n]*)?\r?$", re.M)
+_KEY_VALUE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+)?(?P<key>//[^\s=]*:_\w+|[^\s=:#;\[\"'][^=:\n#]*?)[ \t]*[=:][ \t]*(?:\"(?P<d>[^\"\n]*)\"|'(?P<s>[^'\n]*)'|(?P<r>[^\n\r]*?))[ \t]*(?:[#;][^\n]*)?\r?$", re.M)
 _SECTION = re.compile(r"^[ \t]*\[([^\]\n]+)\]", re.M)
 
 
