@@ -66,4 +66,22 @@ def p8_mapping(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_rates, p5_found, p5_reasons, p6_ids, p6_counts, p7_found, p7_items, p8_found, p8_restored, p8_mapping)}
-ORACLE: dict[str, str] = {}
+
+
+def _p5() -> str:
+    h = handwritten
+    squeezed = " OR ".join(f"(family = '{f}' AND mean_line >= {least} AND blank <= {most})" for f, (least, most) in h.SQUEEZED.items())
+    return f"""
+WITH roots AS (SELECT DISTINCT repo_id FROM repos WHERE regexp_matches(root_path || '/', '{h.PLACES}')),
+f AS (SELECT DISTINCT file_id, repo_id, coalesce(path, '') AS p, coalesce(content, '') AS c FROM files),
+t AS (SELECT *, regexp_replace(c, '{h.IMAGE}', 'data:', 'g') AS x, regexp_extract(substr(c, 1, 4000), '{h.HEAD}', 1) AS head FROM f),
+l AS (SELECT *, string_split(replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines, greatest(length(x), 1) AS n, greatest(length(regexp_replace(x, '\\s+', '', 'g')), 1) AS visible FROM t),
+s AS (SELECT *, length(x) AS chars, n / greatest(len(list_filter(lines, lambda y: length(y) > 0)), 1) AS mean_line, 1 - visible / n AS blank, length(regexp_replace(x, '[^0-9]+', '', 'g')) / visible AS digits,
+ len(regexp_extract_all(x, '\\b[0-9][0-9A-Fa-fxX_.]*\\b')) / greatest(len(regexp_extract_all(x, '\\w+')), 1) AS numbers, 1 - length(regexp_replace(x, '{h.RUN}', '', 'g')) / n AS runs,
+ regexp_matches(p, '{h.CODE}') AS code, CASE WHEN regexp_matches(p, '\\.(js|mjs|cjs|ts|tsx|jsx)$') THEN 'script' WHEN regexp_matches(p, '\\.css$') THEN 'style' ELSE 'other' END AS family FROM l)
+SELECT DISTINCT file_id FROM s WHERE repo_id IN (SELECT repo_id FROM roots WHERE repo_id IS NOT NULL) OR regexp_matches(p, '{h.PLACES}') OR regexp_matches(p, '{h.OUTPUTS}') OR regexp_matches(p, '{h.LOCKED}') OR regexp_matches(p, '{h.NAMES}') OR regexp_matches(head, '{h.TOOL}') OR regexp_matches(head, '{h.COPY}')
+OR (code AND chars >= {h.LEAST_CHARS} AND (runs >= {h.RUN_SHARE} OR {squeezed} OR (digits >= {h.DIGIT_SHARE} AND numbers >= {h.NUMBER_DENSITY})))
+"""
+
+
+ORACLE: dict[str, str] = {"p5_found": _p5()}
