@@ -32,5 +32,5 @@ def shape(route: Column | str) -> Column:
 def template_regex(route: Column | str) -> Column:
     """A regular expression that literal paths of a route template match."""
     bare = F.regexp_replace(route, r"/+$", "")
-    escaped = F.regexp_replace(bare, r"([.+*?^$|()\[\]\\])", r"\\\\$1")
+    escaped = F.regexp_replace(bare, r"([.+*?^$|()\[\]\\])", r"\\$1")
     return F.concat(F.lit("^"), F.regexp_replace(escaped, r":[A-Za-z_]\w*|\{[A-Za-z_]\w*\}|<[A-Za-z_]\w*>", "[^/]+"), F.lit("$"))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 def scan(spark: SparkSession, root: str, *, endings: tuple[str, ...] = (), ignore: str = r"(^|/)(node_modules|\.git|dist|build|\.venv)/", max_bytes: int = 5 * 1024 * 1024) -> DataFrame:
     """``path, hash, mtime, content`` of the files under a folder; larger files keep a null content."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.substring_index("path", base, -1)
+    rel = F.regexp_extract("path", r"\Q" + root.rstrip("/") + r"/\E(.*)$", 1)
     out = f.select(rel.alias("path"), F.sha2("content", 256).alias("hash"), (F.col("modificationTime").cast("double") * 1000).alias("mtime"), F.when(F.col("length") <= max_bytes, F.decode("content", "UTF-8")).alias("content"))
     if endings:
         out = out.where(F.col("path").rlike(r"\.(" + "|".join(endings) + ")$"))
