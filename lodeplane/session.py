@@ -34,3 +34,15 @@ def materialise(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeplane-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, bytes_per_core: int = 4 << 20) -> DataFrame:
+    """Rows dealt out to all cores if the input is too small to be read in as many parts.
+
+    Files of a few megabytes come as one task, which leaves the other cores idle in passes that cost much per row. Inputs
+    of more than ``bytes_per_core`` for each core (by the planner's estimate) are left as they are: no large input is
+    ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= bytes_per_core * cores else df
