@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeplane.session import spread
+
 #: The published split pattern of the byte-level vocabularies (fixed value); white space by its Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 TOKENIZERS = os.environ.get("LODEPLANE_TOKENIZERS", "/opt/tokenizers")
@@ -112,11 +114,11 @@ def rank_file(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> bytes:
 
 
 def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """``key`` and ``ids`` of every row; other columns are ignored. No shuffle: one narrow pass in Arrow batches.
+    """``key`` and ``ids`` of every row; other columns are ignored. One narrow pass in Arrow batches.
 
     The rank file (under 1 MB, the size of a vocabulary and not of the data) is read once on the driver and broadcast.
     """
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    slim = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file(name, folder))
     kind = slim.schema["key"].dataType.simpleString()
 

@@ -63,6 +63,14 @@ def _bytes_of(page: str) -> dict[int, int]:
     return table
 
 
+_SIGNS = r"\x00-\x7f\u00a0-\u00bf\u2010-\u203a\u20a0-\u20bf\u2116\u2122\u2190-\u21ff\u2713-\u2718"
+#: One script and signs: what a word looks like once it is read right. Anything else is not worth weighing.
+_ONE_SCRIPT = re.compile("|".join(rf"[{_SIGNS}{block}]+\Z" for block in (
+    r"\u00c0-\u024f\u0300-\u036f\u1e00-\u1eff\ufb00-\ufb06", r"\u0370-\u03ff\u1f00-\u1fff\u00b5", r"\u0400-\u052f", r"\u1100-\u11ff\u3130-\u318f\uac00-\ud7af\u3000-\u303f\uff00-\uff65",
+    r"\u3000-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0002ffff", r"\u2500-\u25ff", r"\u0590-\u05ff", r"\u0600-\u06ff\u0750-\u077f", r"\u0e00-\u0e7f", r"\u0900-\u0d7f", r"\u0530-\u058f", r"\u10a0-\u10ff", r"\u2000-\u2bff\ufe0f\U0001f000-\U0001faff",
+))).match
+
+
 def _to_bytes(word: str, page: str) -> bytes | None:
     try:
         if page in READ_MULTI:
@@ -97,7 +105,7 @@ def _readings(word: str) -> list[tuple[str, str, str]]:
                 inner = twice.decode("utf-8", "ignore")
                 if not inner.isascii() and len(twice) - len(inner.encode()) <= 0.34 * sum(b > 127 for b in twice):
                     out.append((page, "utf-8 twice", inner))
-            if fixed and fixed != word and not any("\x80" <= c < "\xa0" for c in fixed):
+            if fixed and fixed != word and _ONE_SCRIPT(fixed):
                 out.append((page, true, fixed))
     return out
 
@@ -129,10 +137,17 @@ def hard_evidence(text: str) -> bool:
     return False
 
 
+_ALIKE = frozenset("авекмнорстухіјѕԁԛԝɡһѵАВЕКМНОРСТУХІЈЅαεικνορτυχΑΒΕΗΙΚΜΝΟΡΤΥΧΖ")
+
+
 def _may_swap(word: str) -> bool:
     """Whether one letter for another can be told at all in the word: it needs visible odd letters beside other letters."""
     bare = _BLANK.sub("", word)
-    return sum(c.isalpha() for c in bare) >= 3 and any(c > "\x7f" for c in bare)
+    odd = [c for c in bare if c > "\x7f"]
+    if not odd or sum(c.isalpha() for c in bare) < 3:
+        return False
+    # letters of another script that look like Latin ones, within Latin words, are a disguise and no wrong page
+    return not (all(c in _ALIKE for c in odd) and any("a" <= c <= "z" for c in bare.lower()))
 
 
 _DIGITS = {ord(c): "0" for c in "123456789"} | {ord(c): " " for c in "\t\r\n"}
@@ -316,8 +331,9 @@ def chosen(candidates: DataFrame) -> DataFrame:
 
 def garbled_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", rounds: int = ROUNDS) -> DataFrame:
     """``key, source, page, true, gain, text, pairs`` of the garbled documents; ``text`` is restored unless ``page`` is ``lost``."""
-    from lodeplane.session import materialise
+    from lodeplane.session import materialise, spread
 
+    docs = spread(docs.select(F.col(key).alias(key), F.col(text).alias(text), F.col(source).alias(source)))
     model = bigram_counts(docs, None, text)
     for n in range(rounds):
         found = ciphers(docs, model, key=key, text=text, source=source)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeplane.session import spread
+
 MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 4, 6, 7, 8))
 MIN_RUN = 15
 EXCHANGE = 10
@@ -169,7 +171,7 @@ def _blocks(rows: Iterator, block_words: int) -> Iterator[list[tuple[int, list[s
 def leaked_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``key`` and ``item_key`` of every document and item that leaked into it."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null and text <> ''")
+    slim = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null and text <> ''"))
     kind = slim.schema["key"].dataType.simpleString()
     # Held-out items are written by hand; they stream through the driver block by block and are never held together.
     rows = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
