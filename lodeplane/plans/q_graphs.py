@@ -46,9 +46,10 @@ SQL["g4_strong_impact"] = f"WITH RECURSIVE {SQL_EDGES.replace('e AS', 'e0 AS')},
 
 
 def g5_paths(spark, d):
-    """Shortest call paths between repositories that failed, over strong edges."""
-    s = _seeds(spark, d).distinct()
-    pairs = s.select(F.col("seed").alias("start")).crossJoin(s.limit(1_000_000).select(F.col("seed").alias("target")))
+    """Shortest call paths from the repositories that failed to those of their own group (the first word of the name)."""
+    g = lambda c: F.split(c, "-")[0].alias("grp")
+    starts = _seeds(spark, d).distinct().select(F.col("seed").alias("start"), g("seed"))
+    pairs = starts.join(_nodes(spark, d).select(F.col("node").alias("target"), g("node")), "grp").select("start", "target")
     return graph.shortest_paths(repo_edges(spark, d), pairs, 4)
 
 
