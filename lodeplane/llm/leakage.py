@@ -6,6 +6,9 @@ against a place in the item). Around the hits the diagonal is compared word by w
 with at most one word in ``EXCHANGE`` exchanged is a leak. Either mask alone fits into every window of fifteen words
 with any two of them exchanged (tests check all cases), so no such run escapes the hashing.
 
+A word with a hyphen at a line end may go on in the next line, or the hyphen may be its own. Texts with such breaks are
+hashed and compared once more as lattices in which every break has both readings, whatever the others have.
+
 The items are the small side. They are broadcast in blocks of at most ``BLOCK_WORDS`` words, so the size of what is sent
 is bounded whatever the number of items; each block meets every document whole. The corpus is not shuffled.
 
@@ -33,6 +36,7 @@ MIN_RUN = 15
 EXCHANGE = 10
 SHARED = 3
 BLOCK_WORDS = 2_000_000
+PIECES = 4  # lines that one word may be spread over
 
 _PARTS = r"\n[ \t\r]*\n"
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|\]\([^()\s]{0,300}\)|<!--|-->")
@@ -40,6 +44,9 @@ _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]{2,8});")
 _ESCAPE = re.compile(r"\\[nrt](?![a-z])|\\[nrt](?=[A-Z])|\\(?=[\"'])")
 _HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff]")
 _WORDS = re.compile(r"[^\W_]+")
+_SOFT = re.compile(r"\xad(?=\s)")
+#: From a hyphen at a line end to the next word, over comment and quote marks.
+_WRAP = re.compile(r"-(?<=[^\W_]-)(?:[^\w\n\r\v\f\x85\u2028\u2029]|_)*[\n\r\v\f\x85\u2028\u2029](?:\W|_)*(?=[^\W_])")
 #: Letters of other scripts that look like Latin ones (fixed values).
 _ALIKE = str.maketrans(
     "авекмнорстухіјѕԁԛԝɡһѵıɑ"
@@ -48,21 +55,47 @@ _ALIKE = str.maketrans(
 )
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text without case, punctuation, layout, markup, hidden characters and look-alikes."""
-    if not text:
-        return []
+def _plain(text: str) -> str:
+    """A text without case, markup, hidden characters and look-alikes."""
     if "<" in text or "](" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(lambda m: "\n" if m.group()[:3].lower() == "<br" else " ", text)
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
     if "\\" in text:
         text = _ESCAPE.sub(" ", text)
     if not text.isascii():
-        text = _HIDDEN.sub("", text)
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold().translate(_ALIKE)
-        return _WORDS.findall(text)
-    return _WORDS.findall(text.lower())
+        text = _HIDDEN.sub("", _SOFT.sub("-", text))
+        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold().translate(_ALIKE).replace("\u2010", "-")
+    return text.lower()
+
+
+def wrapped_words(text: str | None) -> tuple[list[str], set[int]]:
+    """The words of a text, and the indexes of those with a hyphen at a line end."""
+    if not text:
+        return [], set()
+    text = _plain(text)
+    wraps = {m.start() for m in _WRAP.finditer(text)}
+    if not wraps:
+        return _WORDS.findall(text), set()
+    found = list(_WORDS.finditer(text))
+    return [m.group() for m in found], {i for i, m in enumerate(found) if m.end() in wraps}
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text without case, punctuation, layout, markup, hidden characters and look-alikes."""
+    return wrapped_words(text)[0]
+
+
+def joined_words(text: str | None) -> list[str]:
+    """The same with all words rejoined whose hyphen stands at a line end."""
+    words, wraps = wrapped_words(text)
+    out: list[str] = []
+    for i, w in enumerate(words):
+        if i - 1 in wraps:
+            out[-1] += w
+        else:
+            out.append(w)
+    return out
 
 
 class Items:
@@ -113,11 +146,72 @@ def tolerant_run(same: np.ndarray) -> bool:
     return False
 
 
+def wrapped_hits(items: Items, words: list[str], wraps: set[int]) -> set[int]:
+    """Sequences that leaked into a text with words on two lines, at any choice between the readings of each."""
+    get, n = items.vocab.get, len(words)
+    edges: list[list[tuple[int, int]]] = []  # of each word, the words that may begin there: (index after it, code)
+    for i, w in enumerate(words):
+        ends = [(i + 1, get(w, 0))]
+        for j in range(i, min(i + PIECES - 1, n - 1)):
+            if j not in wraps:
+                break
+            w += words[j + 1]
+            ends.append((j + 2, get(w, 0)))
+        edges.append(ends)
+    starts = sorted({i for b in wraps for i in range(max(0, b - 2 * MIN_RUN), min(n, b + 2 * MIN_RUN + 1))})
+    codes = np.array([e[0][1] for e in edges], np.int64)
+    longer = [(i, j, c) for i, e in enumerate(edges) for j, c in e[1:]]
+    found: set[int] = set()
+    for mask, seeds, where in zip(MASKS, items.seeds, items.at):
+        at, picked = [], []
+        for i in starts:
+            paths: set[tuple[int, tuple[int, ...]]] = {(i, ())}
+            for o in range(mask[-1] + 1):
+                pick = o in mask
+                paths = {(j, (*seen, c) if pick else seen) for k, seen in paths if k < n for j, c in edges[k] if c or not pick}
+                if not paths:
+                    break
+            for seen in {seen for _, seen in paths}:
+                at.append(i)
+                picked.extend(seen)
+        if not at or not len(seeds):
+            continue
+        h = seed_hashes(np.array(picked, np.int64), np.arange(len(at)) * len(mask), tuple(range(len(mask))))
+        lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
+        for i, a, b in zip(at, lo.tolist(), hi.tolist()):
+            for place in where[a:b].tolist():
+                s = int(items.owner[place])
+                if s not in found and wrapped_run(items, s, place, codes, longer, i):
+                    found.add(s)
+    return found
+
+
+def wrapped_run(items: Items, s: int, place: int, codes: np.ndarray, longer: list[tuple[int, int, int]], at: int) -> bool:
+    """``tolerant_run`` of some stretch around a hit over the lattice of the text. Each step lengthens all paths by a word."""
+    reach = 2 * MIN_RUN
+    own = items.codes[max(int(items.start[s]), place - reach) : min(int(items.start[s + 1]), place + reach)]
+    first, last = max(0, at - PIECES * reach), min(len(codes), at + PIECES * reach)
+    wrong = codes[first:last, None] != own[None, :]
+    jumps = [(i - first, j - first, own != c) for i, j, c in longer if first <= i and j <= last]
+    least = np.zeros((last - first + 1, len(own) + 1), np.int16)
+    for length in range(1, reach + 1):
+        new = np.full_like(least, reach)
+        new[1:, 1:] = least[:-1, :-1] + wrong
+        for i, j, differ in jumps:
+            new[j, 1:] = np.minimum(new[j, 1:], least[i, :-1] + differ)
+        least = new
+        if length >= MIN_RUN and (least <= int(length / EXCHANGE + 0.5)).any():
+            return True
+    return False
+
+
 def hits(items: Items, texts: list[str | None]) -> list[tuple[int, int]]:
     """(index of the text, item id) of the leaks in a batch of texts."""
-    get, codes, lens = items.vocab.get, [], []
+    get, codes, lens, broken = items.vocab.get, [], [], []
     for t in texts:
-        ws = words_of(t)
+        ws, wraps = wrapped_words(t)
+        if wraps:
+            broken.append((len(lens), ws, wraps))
         lens.append(len(ws))
         codes.extend(map(get, ws))
     doc = np.array([c or 0 for c in codes], np.int64)
@@ -153,6 +247,8 @@ def hits(items: Items, texts: list[str | None]) -> list[tuple[int, int]]:
         hi = min(int(items.start[s + 1]), int(first[d + 1]) - shift)
         if hi - lo >= MIN_RUN and tolerant_run(items.codes[lo:hi] == doc[lo + shift : hi + shift]):
             found.add((d, int(items.item[s])))
+    for d, ws, wraps in broken:
+        found.update((d, int(items.item[s])) for s in wrapped_hits(items, ws, wraps))
     return sorted(found)
 
 
@@ -178,7 +274,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
     rows = rows.dropDuplicates(["item", "text"])
     parts = rows.select("item", F.explode(F.split("text", _PARTS)).alias("part"))
     shared = {r.part for r in parts.groupBy("part").agg(F.countDistinct("item").alias("n")).where(F.col("n") >= SHARED).select("part").toLocalIterator()}
-    sequences = ((r.item, [w for p in re.split(_PARTS, r.text) if p not in shared for w in words_of(p)]) for r in rows.orderBy("item", "text").toLocalIterator())
+    readings = lambda ps: [s for k, s in enumerate([w for p in ps for w in f(p)] for f in (words_of, joined_words)) if not k or any(wrapped_words(p)[1] for p in ps)]
+    sequences = ((r.item, ws) for r in rows.orderBy("item", "text").toLocalIterator() for ws in readings([p for p in re.split(_PARTS, r.text) if p not in shared]))
     found = None
     for block in _blocks(((i, ws) for i, ws in sequences if len(ws) >= MIN_RUN), block_words):
         sent = spark.sparkContext.broadcast(block)

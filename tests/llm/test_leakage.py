@@ -44,6 +44,24 @@ def test_dress_exchanges_and_short_quotes(spark):
     assert found(spark, docs, [passage, None, ""]) == {(0, 0), (1, 0), (2, 0), (3, 0)}
 
 
+def test_words_wrapped_at_line_ends(spark):
+    random.seed(6)
+    ws = [random.choice(WORDS) + random.choice(WORDS) for _ in range(24)]
+    passage = " ".join(ws)
+    ws[7:10] = ["state", "of", "art"]
+    hyphens = " ".join(ws)
+    cut = lambda i, mark="\n": " ".join(ws[:i] + [ws[i][:3] + "-" + mark + ws[i][3:]] + ws[i + 1 :])
+    half = lambda text: " ".join(text.split(" ")[2:22])
+    soft = half(passage.replace(passage.split()[12], passage.split()[12][:4] + "\xad\r\n" + passage.split()[12][4:]))
+    real = " ".join(ws[2:7]) + " state-\n   * of-\n   * art " + " ".join(ws[10:13] + [ws[13][:4] + "-\n   * " + ws[13][4:]] + ws[14:20])
+    changed = real.replace(ws[5], "oth-\n// er").replace(ws[11], "other")
+    short = "\n".join([" ".join(ws[:6]), ws[6][:3] + "-\n" + ws[6][3:], " ".join(ws[7:13])])
+    docs = [soft, cut(12), cut(12, '"\n  + "'), real, changed, short, changed.replace(ws[15], "other")]
+    assert found(spark, docs[:1], [passage]) == {(0, 0)}
+    assert found(spark, docs[1:], [hyphens]) == {(0, 0), (1, 0), (2, 0), (3, 0)}
+    assert found(spark, [hyphens], [cut(12)]) == {(0, 0)}
+
+
 def test_shared_instruction_blocks_and_repeats(spark):
     random.seed(4)
     line = "Read the passage below and answer the question that follows it in one short clear sentence please now"
