@@ -7,8 +7,10 @@ edges are the probe side, frontiers the build side.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,9 +101,9 @@ def modularity(edges: DataFrame, groups: DataFrame, weight: str = "w") -> DataFr
     return j.agg(F.round(F.sum((F.col("w") - F.col("ki") * F.col("kj") / F.col("m2")) / F.col("m2")), 6).alias("modularity"))
 
 
-def propagated_labels(edges: DataFrame, start: DataFrame, weight: str = "w", rounds: int = 5) -> DataFrame:
+def propagated_labels(edges: DataFrame, start: DataFrame, weight: str = "w", rounds: int = 20) -> DataFrame:
     """Label propagation in synchronous rounds: a node takes the label with the greatest weight among its neighbours if
-    that is a unique winner, else keeps its own."""
+    that is a unique winner, else keeps its own. It ends when no label changes, at the latest after ``rounds``."""
     both = edges.select("src", "dst", F.col(weight).cast("double").alias("w")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(weight).cast("double").alias("w")))
     pair = both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     label = start.select("node", "label")
@@ -109,40 +111,48 @@ def propagated_labels(edges: DataFrame, start: DataFrame, weight: str = "w", rou
         votes = pair.join(label.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("v"))
         top = votes.groupBy("node").agg(F.max("v").alias("v"))
         best = votes.join(top, ["node", "v"]).groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("new")).where("n = 1").select("node", "new")
-        label = materialise(label.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        step = materialise(label.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
+        label = step.select("node", "label")
+        if step.where("moved").isEmpty():
+            break
     return label
 
 
-def local_moves(edges: DataFrame, start: DataFrame, weight: str = "w", rounds: int = 10) -> DataFrame:
-    """Phase one of Louvain in synchronous rounds: every node weighs the gain in modularity of each neighbouring group and
-    moves to the best one if that is better than staying. Nodes move in alternate halves (by hash), which keeps two
-    neighbours from swapping for ever; the loop ends when a full turn moves none."""
+def local_moves(edges: DataFrame, start: DataFrame, weight: str = "w", rounds: int = 100) -> DataFrame:
+    """Phase one of Louvain as the reference has it: nodes one after another, by name, move to the neighbouring group with
+    the greatest gain in modularity, the last name if several have it; it ends when a sweep moves none, at the latest after
+    ``rounds``. Moves at the same time would go in circles for ever, so that one task sweeps over the whole edge table."""
     both = edges.select("src", "dst", F.col(weight).cast("double").alias("w")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(weight).cast("double").alias("w")))
-    pair = materialise(both.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")))
-    deg = pair.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    total = deg.agg(F.sum("k").alias("m2"))
-    state = materialise(start.select("node", F.col("label").alias("grp")).join(deg, "node"))
-    still = 0
-    for n in range(rounds * 2):
-        sums = state.groupBy("grp").agg(F.sum("k").alias("tot"))
-        links = pair.join(state.select(F.col("node").alias("dst"), "grp"), "dst").groupBy(F.col("src").alias("node"), "grp").agg(F.sum("w").alias("to_grp"))
-        own = state.select("node", F.col("grp").alias("own"), "k")
-        cand = links.unionByName(own.select("node", F.col("own").alias("grp"), F.lit(0.0).alias("to_grp"))).groupBy("node", "grp").agg(F.sum("to_grp").alias("to_grp"))
-        c = cand.join(own, "node").join(sums, "grp").crossJoin(F.broadcast(total))
-        gain = F.col("to_grp") - F.col("k") * (F.col("tot") - F.when(F.col("grp") == F.col("own"), F.col("k")).otherwise(0)) / F.col("m2")
-        scored = c.withColumn("gain", F.round(gain, 9))
-        stay = scored.where("grp = own").select("node", F.col("gain").alias("g0"))
-        best = scored.groupBy("node").agg(F.max(F.struct("gain", "grp")).alias("b")).select("node", F.col("b.gain").alias("g1"), F.col("b.grp").alias("new"))
-        moves = best.join(stay, "node").where((F.col("g1") > F.col("g0") + 1e-9) & (F.pmod(F.xxhash64("node"), F.lit(2)) == n % 2)).select("node", "new")
-        moves = materialise(moves)
-        if moves.isEmpty():
-            still += 1
-            if still == 2:
+    pair = both.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    links = pair.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("dst", "w"))).alias("links"))
+    state = start.select("node", F.col("label").alias("grp")).join(links, "node")
+
+    def sweep(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["node"])
+        group = {r["node"]: r["grp"] for r in rows}
+        links = {r["node"]: [(x["dst"], x["w"]) for x in r["links"] if x["dst"] in group] for r in rows}
+        degree = {r["node"]: sum(x["w"] for x in r["links"]) for r in rows}
+        m2 = sum(degree.values())
+        total: dict[str, float] = defaultdict(float)
+        for node, own in group.items():
+            total[own] += degree[node]
+        for _ in range(rounds):
+            moved = False
+            for node, k in degree.items():
+                own, to = group[node], defaultdict(float)
+                for other, w in links[node]:
+                    to[group[other]] += w
+                total[own] -= k
+                gain = {g: round(to[g] - k * total[g] / m2, 9) for g in [*to, own]}
+                most, best = max((v, g) for g, v in gain.items())
+                if (most - gain[own]) / m2 > 1e-10:
+                    group[node], moved = best, True
+                total[group[node]] += k
+            if not moved:
                 break
-            continue
-        still = 0
-        state = materialise(state.join(moves, "node", "left").select("node", F.coalesce("new", "grp").alias("grp"), "k"))
-    return state.select("node", "grp")
+        return pa.table({"node": list(group), "grp": list(group.values())}, schema=pa.schema([table.schema.field("node"), table.schema.field("grp")]))
+
+    return state.groupBy().applyInArrow(sweep, state.select("node", "grp").schema)
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:

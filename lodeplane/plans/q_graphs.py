@@ -134,7 +134,7 @@ def _nodes(spark, d):
 def g15_local_moves(spark, d):
     """Communities by local moves, measured by their modularity."""
     w = _weights(spark, d)
-    groups = graph.local_moves(w, _nodes(spark, d).withColumn("label", F.col("node")), rounds=2)
+    groups = graph.local_moves(w, _nodes(spark, d).withColumn("label", F.col("node")))
     return graph.modularity(w, groups)
 
 
@@ -150,6 +150,7 @@ SELECT round(sum((p.w - a.k * b.k / m2) / m2), 6) AS modularity FROM p JOIN k a
 
 
 def g17_labels(spark, d):
+    """The first two rounds, which SQL can follow; ``g17_settled_labels`` goes on."""
     start = _nodes(spark, d).withColumn("label", F.split("node", "-")[0])
     return graph.propagated_labels(_weights(spark, d), start, rounds=2)
 
@@ -161,6 +162,15 @@ def _round(n):
 SQL["g17_labels"] = f"WITH {SQL_EDGES}, {_W}, p AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM ww UNION ALL SELECT dst, src, w FROM ww) GROUP BY 1, 2), l0 AS (SELECT DISTINCT src AS node, string_split(src, '-')[1] AS label FROM p), {_round(1)}, {_round(2)} SELECT node, label FROM l2"
 
 
+def g17_settled_labels(spark, d):
+    """The same labels as far as they go: until none changes, at most the reference's twenty sweeps."""
+    start = _nodes(spark, d).withColumn("label", F.split("node", "-")[0])
+    return graph.propagated_labels(_weights(spark, d), start)
+
+
+SQL["g17_settled_labels"] = ""  # the number of rounds depends on the tables; tests compare with brute force
+
+
 def _members(spark, d, kind):
     f = files(spark, d, kind)
     return f.select(F.concat_ws("|", "repo_id", paths.dirname("path")).alias("grp"), F.concat_ws("|", "repo_id", F.coalesce("hash", F.col("path"))).alias("member")).distinct()

@@ -1,6 +1,8 @@
 """Small fixtures for thresholds, ties, nulls and empty inputs of the reference operators."""
 
 import json
+import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +120,51 @@ def test_communities(spark):
     assert len({moved[f"a{i}"] for i in range(4)}) == 1 and len({moved[f"b{i}"] for i in range(4)}) == 1 and moved["a1"] != moved["b1"]
 
 
+def weights_of(edges):
+    w = defaultdict(lambda: defaultdict(float))
+    for a, b, x in edges:
+        w[a][b] += x
+        w[b][a] += x
+    return w
+
+
+def test_labels_go_on_until_none_changes(spark):
+    random.seed(5)
+    names = [f"n{i:02}" for i in range(40)]
+    edges = [(names[i], names[i + 1], 2.0) for i in range(11)] + [(names[i], names[random.randrange(12, i)], random.choice([1.0, 2.5])) for i in range(13, 40)]
+    label = {n: n if n > "n00" else "n01" for n in names}
+    start = spark.createDataFrame(list(label.items()), "node string, label string")
+    w, rounds = weights_of(edges), 0
+    for _ in range(20):
+        new = dict(label)
+        for n in names:
+            votes = defaultdict(float)
+            for m, x in w[n].items():
+                votes[label[m]] += x
+            top = [k for k in votes if votes[k] == max(votes.values())]
+            new[n] = top[0] if len(top) == 1 else label[n]
+        if new == label:
+            break
+        label, rounds = new, rounds + 1
+    assert rounds > 5
+    assert {r.node: r.label for r in graph.propagated_labels(spark.createDataFrame(edges, "src string, dst string, w double"), start).collect()} == label
+
+
+def test_local_moves_leave_no_better_move(spark):
+    random.seed(7)
+    names = [f"n{i:02}" for i in range(60)]
+    edges = [(*sorted(random.sample(names, 2)), random.choice([1.0, 1.5, 3.0])) for _ in range(150)]
+    w = weights_of(edges)
+    e = spark.createDataFrame(edges, "src string, dst string, w double")
+    group = {r.node: r.grp for r in graph.local_moves(e, spark.createDataFrame([(n, n) for n in w], "node string, label string")).collect()}
+    assert set(group) == set(w)
+    degree = {n: sum(w[n].values()) for n in w}
+    m2 = sum(degree.values())
+    for n in w:
+        gain = lambda g: sum(x for m, x in w[n].items() if group[m] == g) - degree[n] * sum(degree[m] for m in w if m != n and group[m] == g) / m2  # noqa: E731, B023
+        assert max(gain(group[m]) for m in w[n]) <= gain(group[n]) + 1e-6
+
+
 def test_jaccard_matching(spark):
     l = spark.createDataFrame([("p", i) for i in range(10)] + [("q", i) for i in range(10, 13)], "grp string, member int")
     r = spark.createDataFrame([("x", i) for i in range(3)] + [("y", i) for i in range(2)] + [("z", 10)], "grp string, member int")
