@@ -222,7 +222,7 @@ def bigram_counts(docs: DataFrame, clean: Column | None = None, text: str = "tex
     return rows.column("slot").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.float64)
 
 
-_CANDIDATES = "key {}, source string, page string, true string, gain double, text string, pairs array<struct<seen:string,letter:string,n:int>>"
+_CANDIDATES = "key {}, source string, pages array<struct<page:string,true:string>>, gain double, text string, pairs array<struct<seen:string,letter:string,n:int>>"
 
 
 def _lost_gain(model: Bigrams, word: str) -> float:
@@ -238,11 +238,11 @@ def _lost_gain(model: Bigrams, word: str) -> float:
     return gain
 
 
-def ciphers(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, key: str = "doc_id", text: str = "text", source: str = "source", best: int = 4) -> DataFrame:
+def ciphers(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """E-step: the likeliest ciphers of each text with suspicious words, with their gain over the text as it is.
 
-    Words are judged in whole texts; every pair of pages competes. Texts without a gain give no row. At most ``best``
-    hypotheses per text go on to the choice by source, a list of ciphers and not of rows.
+    Words are judged in whole texts; every pair of pages competes. Texts without a gain give no row. All hypotheses go on
+    to the choice by source; pairs of pages (``pages``) that change the words alike are one row.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model[0].astype(np.int32), model[1].astype(np.float32)))
@@ -269,45 +269,49 @@ def ciphers(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, key: str =
                 known[w] = hit
             return hit
 
-        def judge(t: str) -> list[tuple[str, str, float, str, list]]:
+        def judge(t: str, best: int | None = None) -> list[tuple[list[tuple[str, str]], float, str, list]]:
             words = Counter(w for w in _WORD.findall(t) if _ODD.search(w))
             gains: dict[tuple[str, str], float] = {}
             for w, n in words.items():
                 for page, true, _, g in word(w):
                     gains[page, true] = gains.get((page, true), 0.0) + g * (1 + math.log(n))
+            alike: dict[tuple, list[tuple[str, str]]] = {}
+            for page, true in sorted((k for k in gains if gains[k] >= MARGIN / 2), key=lambda k: (-gains[k], k))[:best]:
+                table = {w: f for w in words for p, tr, f, _ in word(w) if (p, tr) == (page, true)}
+                single = page not in READ_MULTI and true not in ("utf-8", "utf-8 twice", "gb18030", "big5", "cp932", "cp949", "euc_jp")
+                alike.setdefault((single, *table.items()), []).append((page, true))
             out = []
-            for page, true in sorted(gains, key=lambda k: (-gains[k], k))[:best]:
-                if gains[page, true] >= MARGIN / 2:
-                    table = {w: f for w in words for p, tr, f, _ in word(w) if (p, tr) == (page, true)}
-                    fixed = _WORD.sub(lambda m: table.get(m.group(), m.group()), t)
-                    pairs = Counter()
-                    for w, f in table.items():
-                        if page not in READ_MULTI and true not in ("utf-8", "gb18030", "big5", "cp932", "cp949", "euc_jp") and len(w) == len(f):
-                            for a, b in zip(w, f):
-                                if a != b:
-                                    pairs[a, b] += words[w]
-                    out.append((page, true, gains[page, true], fixed, [{"seen": a, "letter": b, "n": c} for (a, b), c in sorted(pairs.items())]))
+            for (single, *changes), pages in alike.items():
+                table = dict(changes)
+                fixed = _WORD.sub(lambda m: table.get(m.group(), m.group()), t)
+                pairs = Counter()
+                for w, f in table.items():
+                    if single and len(w) == len(f):
+                        for a, b in zip(w, f):
+                            if a != b:
+                                pairs[a, b] += words[w]
+                out.append((pages, gains[pages[0]], fixed, [{"seen": a, "letter": b, "n": c} for (a, b), c in sorted(pairs.items())]))
             if _LOST in t:
                 g = sum(_lost_gain(lm, w) * (1 + math.log(n)) for w, n in words.items() if _LOST in w)
                 if g >= MARGIN / 2:
-                    out.append(("lost", "", g, t, []))
+                    out.append(([("lost", "")], g, t, []))
             return out
 
         for batch in batches:
             keys, sources = batch.column("key").to_pylist(), batch.column("source").to_pylist()
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for k, s, t in zip(keys, sources, batch.column("text").to_pylist()):
-                for page, true, gain, fixed, pairs in judge(t):
+                for pages, gain, fixed, pairs in judge(t):
                     again = fixed
                     for _ in range(2):  # a text may have been garbled more than once
-                        more = judge(again) if page != "lost" else []
-                        if not more or more[0][0] == "lost" or more[0][2] < MARGIN:
+                        more = judge(again, 1) if pages[0][0] != "lost" else []
+                        if not more or more[0][0][0][0] == "lost" or more[0][1] < MARGIN:
                             break
-                        again, gain = more[0][3], gain + more[0][2]
-                    for c, v in zip(cols, (k, s, page, true, gain, again, pairs)):
+                        again, gain = more[0][2], gain + more[0][1]
+                    for c, v in zip(cols, (k, s, [{"page": p, "true": tr} for p, tr in pages], gain, again, pairs)):
                         c.append(v)
-            types = [batch.schema.field("key").type, pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.struct([("seen", pa.string()), ("letter", pa.string()), ("n", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], names=["key", "source", "page", "true", "gain", "text", "pairs"])
+            types = [batch.schema.field("key").type, pa.string(), pa.list_(pa.struct([("page", pa.string()), ("true", pa.string())])), pa.float64(), pa.string(), pa.list_(pa.struct([("seen", pa.string()), ("letter", pa.string()), ("n", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types)], names=["key", "source", "pages", "gain", "text", "pairs"])
 
     return slim.mapInArrow(run, _CANDIDATES.format(kind))
 
@@ -317,7 +321,8 @@ def chosen(candidates: DataFrame) -> DataFrame:
 
     The prior of a pair of pages is its share among the garbled texts of the source, smoothed with its share overall.
     """
-    strong = candidates.where(F.col("gain") >= MARGIN)
+    strong = candidates.where(F.col("gain") >= MARGIN).select("key", "source", F.explode("pages").alias("p"), "gain", "text", "pairs")
+    strong = strong.select("key", "source", "p.page", "p.true", "gain", "text", "pairs")
     pages = ["page", "true"]
     overall = strong.groupBy(*pages).agg(F.sum("gain").alias("all_gain"))
     here = strong.groupBy("source", *pages).agg(F.sum("gain").alias("here_gain"))
@@ -336,7 +341,7 @@ def garbled_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", s
     docs = spread(docs.select(F.col(key).alias(key), F.col(text).alias(text), F.col(source).alias(source)))
     model = bigram_counts(docs, None, text)
     for n in range(rounds):
-        found = ciphers(docs, model, key=key, text=text, source=source)
+        found = materialise(ciphers(docs, model, key=key, text=text, source=source))  # read several times
         if n < rounds - 1:
             dirty = materialise(found.where(F.col("gain") >= MARGIN).select(F.col("key").alias("_dirty")).distinct())
             kept = docs.join(dirty, docs[key] == F.col("_dirty"), "left_anti")

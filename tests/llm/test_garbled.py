@@ -57,5 +57,17 @@ def test_learned_mapping(spark, result):
     assert ("î", "о") in pairs and ("å", "е") in pairs
 
 
+def test_no_hypothesis_is_dropped_before_the_choice(spark):
+    rows, _ = corpus()
+    rows = [r for r in rows if r[0] < 1000] + [(4000 + i, "Las señales son pequeñas y la configuración no cambia.", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    text = "señales pequeñas configuración".encode().decode("latin-1")
+    one = spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")
+    got = G.ciphers(one, G.bigram_counts(docs)).collect()
+    tied = {(p.page, p.true) for r in got if r.text == "señales pequeñas configuración" for p in r.pages}
+    assert tied >= {(p, "utf-8") for p in ("cp1252", "cp1254", "iso8859-15", "iso8859-9", "latin-1")}
+    assert len({r.text for r in got}) == len(got)
+
+
 def test_empty(spark):
     assert G.garbled_texts(spark.createDataFrame([], "doc_id bigint, text string, source string")).collect() == []
