@@ -1,6 +1,7 @@
 """Credentials: forms that count, look-alikes that do not, line numbers, and redaction that leaves the rest as it was."""
 
 import json
+import time
 
 import pytest
 
@@ -54,3 +55,77 @@ def test_table(spark):
     red = {r.file_id: r for r in C.redacted_files(df).collect()}
     assert red[2].path == f"src/token={C.MASK}/a.py" and red[1].content == f'x = 1\n\npassword = "{C.MASK}"\n'
     assert C.credential_lines(df.limit(0)).collect() == []
+
+
+def _lines(path, text):
+    return sorted({text.count("\n", 0, a) + 1 for a, _ in C.places(path, text)})
+
+
+@pytest.mark.parametrize(("path", "text", "line"), [
+    (".env", "PASSWORD=48291037465", 1),
+    (".env", "DB_PASSWORD=lowercaseonlypw", 1),
+    ("a.yaml", 'password: "correct horse battery staple"', 1),
+    ("a.yaml", "password: zk#9Tw2pLq", 1),
+    (".env", 'API_KEY="sample-9f8e7d6c5b4a39281706"', 1),
+    ("main.tf", 'variable "db_password" {\n  type = string\n  default = "kT9#vLq2pZw7"\n}', 3),
+    ("a.py", 'settings = {\n    "password":\n        "kT9vLq2pZw7x",\n}', 3),
+    ("a.json", '{"a": "x[y",\n "password":\n  "kT9vLq2pZw7x"}', 3),
+    ("a.json", '{"env": [{"name": "DB_PASSWORD", "value": "kT9vLq2pZw7x"}]}', 1),
+    ("a.yaml", "env:\n  - name: DB_PASSWORD\n    value: kT9vLq2pZw7x\n", 3),
+    ("a.yaml", "environment:\n  - DB_PASSWORD=kT9vLq2pZw7x\n", 2),
+    ("a.toml", '[db]\nlogin = { user = "x", password = "kT9vLq2pZw7x" }', 2),
+    ("a.xml", '<c>\n<add key="DbPassword" value="kT9vLq2pZw7x"/></c>', 2),
+    ("a.xml", "<c>\n<password>kT9vLq2pZw7x</password></c>", 2),
+    ("Dockerfile", "FROM x\nENV DB_PASSWORD kT9vLq2pZw7x\n", 2),
+    ("a.go", 'AZURE_PAT := "kT9vLq2pZw7xA81mQ"', 1),
+    ("a.py", 'token = "' + "aB3" * 1600 + '"', 1),
+])
+def test_places_of_many_forms(path, text, line):
+    assert _lines(path, text) == [line]
+
+
+@pytest.mark.parametrize(("path", "text"), [
+    (".env", "PASSWORD=required\nTOKEN=example-token-1234567890123456\nPASSWORD_MIN=48291037465\n"),
+    ("a.yaml", 'password: "enter the new password"\npassword: "Your password must be long"\n'),
+    ("main.tf", 'variable "db_password" {\n  default = var.secret\n}\n'),
+    ("a.json", '{"name": "DB_HOST", "value": "kT9vLq2pZw7x"}'),
+])
+def test_places_of_none(path, text):
+    assert _lines(path, text) == []
+
+
+def _key(chars, footer=True, join="\n"):
+    body = "".join("Ab3d" for _ in range(chars // 4)) + "Qz8="
+    rows = [body[i : i + 64] for i in range(0, len(body), 64)]
+    return join.join(["-----BEGIN RSA PRIVATE KEY-----", *rows, *(["-----END RSA PRIVATE KEY-----"] if footer else [])])
+
+
+@pytest.mark.parametrize("footer", [True, False])
+@pytest.mark.parametrize("chars", [200, 30_000, 1_000_000])
+def test_key_blocks_are_redacted_whole(chars, footer):
+    text = "é = 1\n" + _key(chars, footer) + "\nnext = 1\n"
+    began = time.time()
+    out = C.redacted(text, C.places("a.pem", text))
+    assert time.time() - began < 2
+    assert "Ab3d" not in out and "Qz8=" not in out and out.endswith("\nnext = 1\n") and out.startswith("é = 1\n-----BEGIN")
+    assert out.count("\n") == text.count("\n") and ("-----END" in out) == footer
+
+
+def test_key_block_in_a_string_is_redacted_whole():
+    text = 'k = "' + _key(300, True, "\\n") + '"\n'
+    out = C.redacted(text, C.places("a.py", text))
+    assert "Ab3d" not in out and "Qz8" not in out and out.count("\\n") == text.count("\\n") and out.endswith('-----END RSA PRIVATE KEY-----"\n')
+
+
+def test_large_json_is_read_in_time():
+    text = "[" + ",\n".join('{"id": %d, "tags": ["a", "b"], "note": "[x"}' % i for i in range(110_000)) + ',\n{"password": "kT9vLq2pZw7x"}]'
+    assert len(text) > 5_000_000
+    began = time.time()
+    assert len(C.places("a.json", text)) == 1
+    assert time.time() - began < 4
+
+
+def test_offsets_are_bytes():
+    text = 'é = "ü"\npassword = "kT9vLq2pZw7x"\n'
+    [(a, b)] = C.byte_spans(text, C.places("a.py", text))
+    assert text.encode()[a:b] == b"kT9vLq2pZw7x"
