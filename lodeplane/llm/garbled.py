@@ -336,9 +336,9 @@ def chosen(candidates: DataFrame) -> DataFrame:
 
 def garbled_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", rounds: int = ROUNDS) -> DataFrame:
     """``key, source, page, true, gain, text, pairs`` of the garbled documents; ``text`` is restored unless ``page`` is ``lost``."""
-    from lodeplane.session import materialise, spread
+    from lodeplane.session import materialise
 
-    docs = spread(docs.select(F.col(key).alias(key), F.col(text).alias(text), F.col(source).alias(source)))
+    docs = docs.select(F.col(key).alias(key), F.col(text).alias(text), F.col(source).alias(source))
     model = bigram_counts(docs, None, text)
     for n in range(rounds):
         found = materialise(ciphers(docs, model, key=key, text=text, source=source))  # read several times

@@ -11,9 +11,9 @@ CASES = {
     "output": [("build/generated/a.py", CODE), ("target/classes/A.java", CODE), ("obj/Debug/a.cs", CODE), ("dist/a.js", CODE)],
     "lock": [("w/package-lock.json", "{}"), ("go.sum", "x")],
     "name": [("web/a.min.js", "x"), ("src/a_pb2.py", CODE), ("a/b.pb.go", CODE)],
-    "banner": [("src/a.py", "# Code generated by x. DO NOT EDIT.\n" + CODE), ("src/a.js", "﻿// @generated by y\n" + CODE), ("src/b.py", "#!/bin/sh\n# AUTO-GENERATED from a.proto\n" + CODE)],
+    "banner": [("src/a.py", "# Code generated by x. DO NOT EDIT.\n" + CODE), ("src/a.js", "﻿// @generated by y\n" + CODE), ("src/b.py", "#!/bin/sh\n# AUTO-GENERATED from a.proto\n" + CODE), ("src/c.go", "// a long licence line of the owner\n" * 400 + "// Code generated by x. DO NOT EDIT.\n" + CODE)],
     "copy": [("src/a.js", "// lib v1.2.0 | (c) the lib contributors | MIT License\n" + CODE), ("src/a.js", "/*! lib 2.1.1, bundled from upstream */\n" + CODE)],
-    "squeezed": [("src/a.js", SQUEEZED), ("src/a.css", "a{color:red}b{margin:0}" * 30)],
+    "squeezed": [("src/a.js", SQUEEZED), ("src/a.css", "a{color:red}b{margin:0}" * 30), ("src/b.js", "const a = 1;\n" * 60 + SQUEEZED * 4)],
     "data": [("src/a.py", f'blob = "{BLOB}"\n'), ("src/a.js", "export const d = [\n" + "  48416, 56938, 55383, 28232, 11018, 59264,\n" * 20 + "];\n")],
     None: [
         ("src/vendors/a.py", CODE), ("tools/build/a.py", CODE), ("src/distribution/a.py", CODE), ("src/generated_reports/a.py", CODE), ("src/codegen/a.py", CODE), ("internal/vendorportal/a.go", CODE),
