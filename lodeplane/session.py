@@ -26,23 +26,15 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; where that setting is absent (tests on
-    one machine) a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A session on one machine that names none gets a
+    folder of its own; on a cluster that is an error, since no folder of the driver's machine is shared.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodeplane-ckpt-")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lodeplane-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, bytes_per_core: int = 4 << 20) -> DataFrame:
-    """Rows dealt out to all cores if the input is too small to be read in as many parts.
-
-    Files of a few megabytes come as one task, which leaves the other cores idle in passes that cost much per row. Inputs
-    of more than ``bytes_per_core`` for each core (by the planner's estimate) are left as they are: no large input is
-    ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= bytes_per_core * cores else df
