@@ -6,7 +6,8 @@ far allow, as a chart of all parses at once, so a grammar may be ambiguous; it m
 
 Stacks are shared linked nodes and sets of pairs are interned, which makes every step a table look-up the second time.
 The tables grow as texts need them, and whole lines of tokens are remembered as steps of their own: code repeats its
-shapes, so that most lines cost one look-up. The tables are emptied between texts when they hold too many nodes.
+shapes, so that most lines cost one look-up. The tables are emptied when they hold too many nodes, within a text too; the
+state reached so far is all that has to stay.
 
 Syntax of grammars: ``rule = alternatives ;`` with ``|``, ``( )``, ``[ ]`` (optional), ``{ }`` (any number), ``'x'``
 (literal token), capitals (token class), small letters (rule) and ``<rule ! 'x' 'y'>`` (rule that may not begin so).
@@ -228,8 +229,11 @@ class Grammar:
             out |= s.pairs
         return self._intern(out) if out else None
 
+    def _full(self) -> bool:
+        return len(self._nodes) + len(self._sets) + self._known_lines > LIMIT
+
     def begin(self) -> _Set:
-        if len(self._nodes) + len(self._sets) + self._known_lines > LIMIT:
+        if self._full():
             self._clear()
         return self._root
 
@@ -238,6 +242,10 @@ class Grammar:
         hit = s.lines.get(line, 0)
         if hit != 0:
             return hit
+        if self._full():  # forget all but the state at hand, whose nodes its pairs keep
+            self._clear()
+            s.step, s.lines = {}, {}
+            self._sets[s.pairs] = s
         cur: _Set | None = s
         for t in line:
             nxt = cur.step.get(t, 0)

@@ -1,7 +1,8 @@
 """Grammars of the source languages, written after their public specifications, and the token tables that go with them.
 
-They describe whole files. Where a specification forbids by prose what its grammar would allow (names, types, the
-targets of assignments), these grammars are as wide as the syntax; only syntax counts here. ``NL`` in JavaScript and
+They describe whole files. Where a specification forbids by prose what its grammar would allow (names and types), these
+grammars are as wide as the syntax; only syntax counts here. Targets of assignments, the order of parameters and
+arguments, and expressions that are no statements are told apart by rules of their own. ``NL`` in JavaScript and
 TypeScript is a line end that may either be skipped or close a statement; in Python it ends a logical line.
 """
 
@@ -14,18 +15,22 @@ simple = small { ';' small } [ ';' ] NL ;
 block = simple | NL INDENT stmt { stmt } DEDENT ;
 name = NAME | 'match' | 'case' | 'type' | '_' ;
 small = exprstmt | 'return' [ starlist ] | 'import' dotas { ',' dotas } | 'from' from | 'raise' [ expr [ 'from' expr ] ] | 'pass' | 'break' | 'continue'
-  | 'del' target { ',' target } [ ',' ] | 'assert' expr [ ',' expr ] | ( 'global' | 'nonlocal' ) name { ',' name } | 'type' name [ tparams ] '=' expr ;
+  | 'del' ltarget { ',' ltarget } [ ',' ] | 'assert' expr [ ',' expr ] | ( 'global' | 'nonlocal' ) name { ',' name } | 'type' name [ tparams ] '=' expr ;
 from = ( { '.' | '...' } dotted | ( '.' | '...' ) { '.' | '...' } ) 'import' ( '*' | '(' as { ',' as } [ ',' ] ')' | as { ',' as } ) ;
 dotted = name { '.' name } ;
 dotas = dotted [ 'as' name ] ;
 as = name [ 'as' name ] ;
-exprstmt = starlist [ ':' expr [ '=' ( yield | starlist ) ] | AUG ( yield | starlist ) | '=' ( yield | starlist ) { '=' ( yield | starlist ) } ] | yield { '=' ( yield | starlist ) } ;
+exprstmt = starlist | yield | assigned | single ( AUG ( yield | starlist ) | ':' expr [ '=' ( yield | starlist ) ] ) ;
+assigned = lhs '=' ( yield | starlist | assigned ) ;
+lhs = [ '*' ] ltarget { ',' [ '*' ] ltarget } [ ',' ] ;
+ltarget = name | ltail | '(' [ lhs ] ')' | '[' [ lhs ] ']' ;
+single = name | ltail | '(' single ')' ;
+ltail = [ 'await' ] atom { trailer } ( '.' name | '[' subs ']' ) ;
 yield = 'yield' ( 'from' expr | [ starlist ] ) ;
 starlist = staritem { ',' staritem } [ ',' ] ;
 staritem = '*' bitor | named ;
 named = name ':=' expr | expr ;
-target = atom { trailer } | '(' target { ',' target } [ ',' ] ')' ;
-expr = 'lambda' [ lparams ] ':' expr | or [ 'if' or 'else' expr ] ;
+expr = 'lambda' [ @LAMBDA@ ] ':' expr | or [ 'if' or 'else' expr ] ;
 or = and { 'or' and } ;
 and = not { 'and' not } ;
 not = { 'not' } compare ;
@@ -33,8 +38,9 @@ compare = bitor { ( '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' |
 bitor = unary { ( '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' ) unary } ;
 unary = { '+' | '-' | '~' } power ;
 power = [ 'await' ] atom { trailer } [ '**' unary ] ;
-trailer = '(' [ args ] ')' | '[' subs ']' | '.' name ;
-atom = name | NUM | STR { STR } | '...' | 'None' | 'True' | 'False' | '(' [ yield | starexprs comp | starexprs ] ')' | '[' [ starexprs | staritem comp ] ']' | '{' [ dict | set ] '}' ;
+trailer = '(' [ args | named comp ] ')' | '[' subs ']' | '.' name ;
+str = STR | FSTART { ( yield | starexprs ) [ '=' ] FFIELD } FEND ;
+atom = name | NUM | str { str } | '...' | 'None' | 'True' | 'False' | '(' [ yield | starexprs comp | starexprs ] ')' | '[' [ starexprs | staritem comp ] ']' | '{' [ dict | set ] '}' ;
 starexprs = staritem { ',' staritem } [ ',' ] ;
 dict = pair ( comp | { ',' pair } [ ',' ] ) ;
 pair = expr ':' expr | '**' bitor ;
@@ -43,15 +49,13 @@ comp = compfor { compfor | 'if' ornamed } ;
 compfor = [ 'async' ] 'for' targets 'in' or ;
 ornamed = or | name ':=' or ;
 targets = tgt { ',' tgt } [ ',' ] ;
-tgt = [ '*' ] ( atom { trailer } ) ;
-args = arg { ',' arg } [ ',' ] ;
-arg = named [ comp ] | name '=' expr | '*' expr | '**' expr ;
+tgt = [ '*' ] ltarget ;
+args = ( named | '*' expr ) [ ',' [ args ] ] | kargs ;
+kargs = name '=' expr [ ',' [ kargs ] ] | '*' expr [ ',' [ kargs ] ] | '**' expr [ ',' [ dargs ] ] ;
+dargs = name '=' expr [ ',' [ dargs ] ] | '**' expr [ ',' [ dargs ] ] ;
 subs = sub { ',' sub } [ ',' ] ;
 sub = [ expr ] ':' [ expr ] [ ':' [ expr ] ] | named | '*' bitor ;
-lparams = lparam { ',' lparam } [ ',' ] ;
-lparam = name [ '=' expr ] | '*' [ name ] | '**' name | '/' ;
-params = param { ',' param } [ ',' ] ;
-param = name [ ':' expr ] [ '=' expr ] | '*' [ name [ ':' staritem ] ] | '**' name [ ':' expr ] | '/' ;
+@PARAMETERS@
 tparams = '[' tparam { ',' tparam } [ ',' ] ']' ;
 tparam = name [ ':' expr ] [ '=' expr ] | ( '*' | '**' ) name [ '=' expr ] ;
 compound = if | while | for | try | with | def | class | decorated | 'async' ( def | with | for ) | match ;
@@ -62,7 +66,7 @@ try = 'try' ':' block ( 'finally' ':' block | except { except } [ 'else' ':' blo
 except = 'except' [ '*' ] [ expr [ 'as' name ] ] ':' block ;
 with = 'with' ( item { ',' item } | '(' item { ',' item } [ ',' ] ')' ) ':' block ;
 item = expr [ 'as' tgt ] ;
-def = 'def' name [ tparams ] '(' [ params ] ')' [ '->' expr ] ':' block ;
+def = 'def' name [ tparams ] '(' [ @DEF@ ] ')' [ '->' expr ] ':' block ;
 class = 'class' name [ tparams ] [ '(' [ args ] ')' ] ':' block ;
 decorated = '@' named NL { '@' named NL } ( def | class | 'async' def ) ;
 match = 'match' starlist ':' NL INDENT case { case } DEDENT ;
@@ -75,6 +79,26 @@ kpat = [ name '=' ] aspat ;
 mpat = pat ':' aspat | '**' name ;
 """
 
+
+def _parameters(rule: str, note: str, star_note: str) -> str:
+    """Rules for a list of parameters: those without a default first, at most one ``/``, then ``*``, then names, then ``**``."""
+    p = rule
+    return f"""{p} = {p}a | {p}d | {p}s ;
+{p}n = name {note} ;
+{p}v = {p}n '=' expr ;
+{p}a = {p}n [ ',' [ {p}a | '/' [ ',' [ {p}b | {p}e | {p}s ] ] | {p}d | {p}s ] ] ;
+{p}b = {p}n [ ',' [ {p}b | {p}e | {p}s ] ] ;
+{p}d = {p}v [ ',' [ {p}d | '/' [ ',' [ {p}e | {p}s ] ] | {p}s ] ] ;
+{p}e = {p}v [ ',' [ {p}e | {p}s ] ] ;
+{p}s = '*' name {star_note} [ ',' [ {p}k ] ] | '*' ',' {p}w | {p}x ;
+{p}k = {p}w | {p}x ;
+{p}w = ( {p}n | {p}v ) [ ',' [ {p}k ] ] ;
+{p}x = '**' name {note} [ ',' ] ;
+"""
+
+
+PYTHON = PYTHON.replace("@LAMBDA@", "lparams").replace("@DEF@", "params").replace("@PARAMETERS@", _parameters("params", "[ ':' expr ]", "[ ':' staritem ]") + _parameters("lparams", "", ""))
+
 JSON = r"""
 file = value EOF ;
 value = STR | NUM | 'true' | 'false' | 'null' | '{' [ STR ':' value { ',' STR ':' value } ] '}' | '[' [ value { ',' value } ] ']' ;
@@ -109,20 +133,23 @@ star = '*' 'as' ident ;
 named = '{' [ spec { ',' spec } [ ',' ] ] '}' ;
 spec = @TYPEONLY@ ( nameany | STR ) [ 'as' ( nameany | STR ) ] ;
 export = @TYPEONLY@ ( '*' [ 'as' ( nameany | STR ) ] 'from' STR | named [ 'from' STR ] ) [ 'with' object ] | vars | 'default' <assign ! 'function' 'class'> @EXPORT@ ;
-vars = ( 'var' | 'let' | 'const' ) decl { ',' decl } ;
-decl = pattern @DECLTYPE@ [ '=' assign ] ;
+vars = 'var' decl { ',' decl } | 'let' <decl ! 'let'> { ',' <decl ! 'let'> } | 'const' <cdecl ! 'let'> { ',' <cdecl ! 'let'> } ;
+decl = ident @DECLTYPE@ [ '=' assign ] | bpattern @DECLTYPE@ '=' assign @AMBIENT@ ;
+cdecl = @CONST@ ;
 if = 'if' '(' expr ')' stmt [ 'else' stmt ] ;
-forhead = 'for' [ 'await' ] '(' ( [ vars | <expr ! 'let' > ] ';' [ expr ] ';' [ expr ] | ( ( 'var' | 'let' | 'const' ) pattern | call ) ( 'in' expr | 'of' assign ) ) ')' ;
+forhead = 'for' [ 'await' ] '(' ( [ vars | <expr ! 'let' > ] ';' [ expr ] ';' [ expr ] | ( ( 'var' | 'let' | 'const' ) pattern | lhs ) ( 'in' expr | 'of' assign ) ) ')' ;
 switch = 'switch' '(' expr ')' '{' { ( 'case' expr | 'default' ) ':' list } '}' ;
 try = 'try' block ( 'catch' [ '(' pattern @DECLTYPE@ ')' ] block [ 'finally' block ] | 'finally' block ) ;
 expr = assign { ',' assign } ;
-assign = arrow | 'yield' [ [ '*' ] assign ] | cond [ ( '=' | AUG @AUGS@ ) assign ] ;
+assign = arrow | 'yield' [ [ '*' ] assign ] | cond | lhs ( '=' | AUG @AUGS@ ) assign ;
+lhs = ident | array | object | '(' expr ')' | { 'new' } primary { part } ( '.' ( nameany | PRIVATE ) | '[' expr ']' @LAST@ ) ;
 arrow = [ 'async' ] ( ident | @TPARAMS@ '(' params ')' @RETTYPE@ ) '=>' ( block | <assign ! '{'> ) ;
 cond = binary [ '?' assign ':' assign ] ;
 binary = unary { ( BIN | '<' | '>' | 'in' | 'instanceof' | '+' | '-' | '*' | '/' @BINOPS@ ) unary } ;
 unary = { '+' | '-' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--' @CAST@ } postfix ;
 postfix = call [ '++' | '--' ] @POSTTYPE@ ;
-call = { 'new' } primary { '.' ( nameany | PRIVATE ) | '?.' ( nameany | PRIVATE | '[' expr ']' | '(' args ')' ) | '[' expr ']' | '(' args ')' | tpl @CALLS@ } ;
+call = { 'new' } primary { part } ;
+part = '.' ( nameany | PRIVATE ) | '?.' ( nameany | PRIVATE | '[' expr ']' | '(' args ')' ) | '[' expr ']' | '(' args ')' | tpl @CALLS@ ;
 args = [ [ '...' ] assign { ',' [ '...' ] assign } [ ',' ] ] ;
 primary = ident | NUM | STR | REGEX | tpl | 'this' | 'super' | 'null' | 'true' | 'false' | PRIVATE | '(' expr ')' | array | object | fun | fundefault | class | classdefault | 'import' ( '(' args ')' | '.' nameany ) | 'new' '.' nameany ;
 tpl = TPL | TPLHEAD expr { TPLMID expr } TPLTAIL ;
@@ -135,8 +162,9 @@ sig = @TPARAMS@ '(' params ')' @RETTYPE@ ;
 fun = [ 'async' ] 'function' [ '*' ] ident sig block ;
 fundefault = [ 'async' ] 'function' [ '*' ] sig block ;
 params = [ param { ',' param } [ ',' ] ] ;
-param = @PARAMMODS@ [ '...' ] pattern @PARAMTYPE@ [ '=' assign ] ;
-pattern = ident | '{' [ pprop { ',' pprop } [ ',' ] ] '}' | '[' { ',' } [ pelem { ',' [ pelem ] } ] ']' ;
+param = @PARAMMODS@ [ '...' ] pattern @PARAMTYPE@ [ '=' assign ] @THIS@ ;
+pattern = ident | bpattern ;
+bpattern = '{' [ pprop { ',' pprop } [ ',' ] ] '}' | '[' { ',' } [ pelem { ',' [ pelem ] } ] ']' ;
 pprop = '...' ident | key ':' pattern [ '=' assign ] | ident [ '=' assign ] ;
 pelem = [ '...' ] pattern [ '=' assign ] ;
 class = @DECORATORS@ 'class' ident classrest ;
@@ -176,8 +204,8 @@ def _fill(text: str, parts: dict[str, str]) -> str:
     return text
 
 
-_KEYS = "SOFT WORDS CLOSED EXPORTED SIMPLE TYPEONLY EXPORT DECLTYPE TPARAMS RETTYPE AUGS BINOPS POSTTYPE CAST CALLS PARAMMODS PARAMTYPE DECORATORS HERITAGE IMPLEMENTS OPT MODS FIELDTYPE FIELDS".split()
-JAVASCRIPT = _fill(_ECMA, {k: "" for k in _KEYS} | {"SOFT": _any(_SOFT_JS), "WORDS": _any(_WORDS)})
+_KEYS = "SOFT WORDS CLOSED EXPORTED SIMPLE TYPEONLY EXPORT DECLTYPE TPARAMS RETTYPE AUGS BINOPS POSTTYPE CAST CALLS PARAMMODS PARAMTYPE DECORATORS HERITAGE IMPLEMENTS OPT MODS FIELDTYPE FIELDS THIS LAST AMBIENT".split()
+JAVASCRIPT = _fill(_ECMA, {k: "" for k in _KEYS} | {"CONST": "pattern '=' assign", "SOFT": _any(_SOFT_JS), "WORDS": _any(_WORDS)})
 TYPESCRIPT = _fill(
     _ECMA,
     {
@@ -186,6 +214,10 @@ TYPESCRIPT = _fill(
         "CLOSED": "| interface | namespace | enum | 'declare' ( fun | class | interface | namespace | enum | 'abstract' class ) | 'abstract' class",
         "EXPORTED": "| interface | namespace | enum | 'abstract' class | 'default' ( interface | 'abstract' ( class | classdefault ) ) | 'declare' ( class | interface | namespace | enum | 'abstract' class )",
         "SIMPLE": "| 'type' ident [ tparams ] '=' type | 'declare' ( vars | 'type' ident [ tparams ] '=' type | [ 'async' ] 'function' ident sig ) | [ 'async' ] 'function' ident sig | 'import' [ 'type' ] ident '=' ( 'require' '(' STR ')' | ident { '.' ident } ) | ( 'module' | 'namespace' ) STR",
+        "THIS": "| 'this' ':' type",
+        "LAST": "| '!'",
+        "AMBIENT": "| bpattern [ '!' ] ':' type",
+        "CONST": "pattern @DECLTYPE@ [ '=' assign ]",
         "TYPEONLY": "[ 'type' ]",
         "EXPORT": "| 'type' ident [ tparams ] '=' type | 'declare' ( vars | 'function' ident sig ) | 'default' [ 'async' ] 'function' [ ident ] sig | [ 'async' ] 'function' ident sig | '=' assign | 'as' 'namespace' ident",
         "DECLTYPE": "[ [ '!' ] ':' type ]",
@@ -291,7 +323,7 @@ init = expr | '{' [ init { ',' init } ] [ ',' ] '}' ;
 block = '{' { bstmt } '}' ;
 bstmt = stmt | local ';' | mods ( class | interface | enum | record ) ;
 local = { annotation | 'final' } type declarators ;
-stmt = block | ';' | <expr ! '{'> ';' | ident ':' stmt | 'assert' expr [ ':' expr ] ';' | 'if' '(' expr ')' stmt [ 'else' stmt ] | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | for | switchx | ( 'break' | 'continue' ) [ ident ] ';' | 'yield' expr ';' | 'return' [ expr ] ';' | 'throw' expr ';' | 'synchronized' '(' expr ')' block | try ;
+stmt = block | ';' | action ';' | ident ':' stmt | 'assert' expr [ ':' expr ] ';' | 'if' '(' expr ')' stmt [ 'else' stmt ] | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | for | switchx | ( 'break' | 'continue' ) [ ident ] ';' | 'yield' expr ';' | 'return' [ expr ] ';' | 'throw' expr ';' | 'synchronized' '(' expr ')' block | try ;
 for = 'for' '(' ( [ local | exprs ] ';' [ expr ] ';' [ exprs ] | { annotation | 'final' } type ident dims ':' expr ) ')' stmt ;
 exprs = expr { ',' expr } ;
 switchx = 'switch' '(' expr ')' '{' { label ( ':' { bstmt } | '->' ( expr ';' | block | 'throw' expr ';' ) ) } '}' ;
@@ -301,7 +333,10 @@ jpattern = { annotation | 'final' } type ( ident | '(' [ jpattern { ',' jpattern
 try = 'try' ( '(' res { ';' res } [ ';' ] ')' block { catch } [ 'finally' block ] | block ( catch { catch } [ 'finally' block ] | 'finally' block ) ) ;
 res = { annotation | 'final' } type ident '=' expr | call ;
 catch = 'catch' '(' { annotation | 'final' } type { '|' type } ident ')' block ;
-expr = lambda | cond [ ( '=' | AUG | '>' '>' '=' | '>' '>' '>' '=' ) expr ] ;
+expr = lambda | cond | assigned ;
+assigned = jlhs ( '=' | AUG | '>' '>' '=' | '>' '>' '>' '=' ) expr ;
+jlhs = ident | '(' jlhs ')' | primary { jpart } ( '.' ident | '[' expr ']' ) ;
+action = assigned | ( '++' | '--' ) postfix | jlhs ( '++' | '--' ) | primary { jpart } ( '(' [ args ] ')' | '.' [ targs ] ident '(' [ args ] ')' | '.' [ targs ] newx ) | newx | switchx ;
 lambda = ( ident | '(' [ lparam { ',' lparam } ] ')' ) '->' ( <expr ! '{'> | block ) ;
 lparam = ident | param ;
 cond = binary [ '?' expr ':' ( cond | lambda ) ] ;
@@ -310,7 +345,8 @@ unary = { '+' | '-' | '!' | '~' | '++' | '--' | cast } postfix ;
 cast = '(' type { '&' type } ')' ;
 postfix = ( call | switchx | castlambda ) { '++' | '--' } ;
 castlambda = cast lambda ;
-call = primary { '.' ( ident | [ targs ] ident '(' [ args ] ')' | 'this' | 'super' | 'class' | [ targs ] newx ) | '[' expr ']' | '(' [ args ] ')' | '::' [ targs ] ( ident | 'new' ) } ;
+call = primary { jpart } ;
+jpart = '.' ( ident | [ targs ] ident '(' [ args ] ')' | 'this' | 'super' | 'class' | [ targs ] newx ) | '[' expr ']' | '(' [ args ] ')' | '::' [ targs ] ( ident | 'new' ) ;
 primary = NUM | STR | CHAR | 'true' | 'false' | 'null' | 'this' | 'super' | ident | '(' expr ')' | newx | ( PRIM | ident [ targs ] { '.' ident [ targs ] } ) ( dims '.' 'class' | dims '::' ( ident | 'new' ) ) | 'void' '.' 'class' ;
 newx = 'new' annotations [ targs ] ( PRIM | ident [ targs ] { '.' ident [ targs ] } ) ( '(' [ args ] ')' [ body ] | { annotations '[' [ expr ] ']' } [ '{' [ init { ',' init } ] [ ',' ] '}' ] ) ;
 args = expr { ',' expr } ;

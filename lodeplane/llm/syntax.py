@@ -1,8 +1,8 @@
 """Source files that are not valid in the language their path promises.
 
 Each file is split into tokens and its whole token stream is run through the table-driven recogniser of its language's
-grammar; the first token that fits no parse is the error reported. Python files found invalid are checked once more by
-the interpreter's own parser, which knows newer string forms; a file counts only if both refuse it.
+grammar; the first token that fits no parse is the error reported. Lines are split into tokens alone and remembered; where
+what a slash means hangs on earlier lines, a file that fails is read once more as one stretch.
 
 Defined results: files with other endings, and null, empty or blank contents, are not judged. A byte-order mark at the
 start is valid except in .java and .json; any line ends are valid. Rows delivered twice under one id count once.
@@ -10,9 +10,7 @@ start is valid except in .java and .json; any line ends are valid. Rows delivere
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +22,8 @@ from lodeplane.llm.automaton import Grammar
 
 LANGUAGES = {"py": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "go": "go", "java": "java", "json": "json"}
 _BAD = "\0"
-_LINES = 200_000  # remembered source lines per language and task
+_LINES = 200_000  # remembered source lines per language and task,
+_LINE_CHARS = 500  # each at most so long
 _WORD = r"[^\W\d]\w*"
 _PRIMITIVE = "int long short byte char float double boolean".split()
 _MODIFIER = "public private protected abstract native transient volatile strictfp".split()
@@ -85,7 +84,7 @@ class Lexer:
             tokens = known.get(line)
             if tokens is None:
                 tokens, stop = self.lex(text, pos, end, n)
-                if stop == end and not any(m in line for m in self.multi):
+                if stop == end and len(line) <= _LINE_CHARS and not any(m in line for m in self.multi):
                     if len(known) > _LINES:
                         known.clear()
                     known[line] = tokens
@@ -102,6 +101,10 @@ class Lexer:
     def last(self, text: str) -> str:
         return ""
 
+    def whole(self, text: str) -> bool:
+        """Whether a text that fails line by line is valid as one stretch."""
+        return False
+
     def lex(self, text: str, pos: int, end: int, n: int) -> tuple[str, int]:
         out = []
         match, of = self.rx, self.of
@@ -203,6 +206,8 @@ class ScriptLexer(Lexer):
         c = grammar.code
         self.nl = c["NL"]
         self.values = {c[x] for x in ("NAME", "NUM", "STR", "REGEX", "TPL", "TPLTAIL", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "PRIVATE")} | {self.words[w] for w in ("async", "from", "get", "set", "of", "static", "as")}
+        self.heads = {self.words[w] for w in ("if", "while", "for", "with")}
+        self.open, self.shut, self.awaited = c["("], c[")"], self.words["await"]
         self.regex = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*").match
         self.piece = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*").match
 
@@ -213,10 +218,11 @@ class ScriptLexer(Lexer):
         out: list[str] = []
         match, of, c = self.rx, self.of, self.g.code
         open_: list[int] = []  # depth of braces within each substitution of a template
-        prev = ""
+        heads: list[bool] = []  # of each open parenthesis, whether it is the head of a statement
+        prev, before, slash = "", "", True  # the last two tokens, and whether a slash begins a regular expression
         while pos < end or (open_ and pos < n):
             ch = text[pos]
-            if ch == "/" and text[pos + 1 : pos + 2] not in ("/", "*") and prev not in self.values:
+            if ch == "/" and text[pos + 1 : pos + 2] not in ("/", "*") and slash:
                 m = self.regex(text, pos)
                 if m is None:
                     return "".join(out) + _BAD, max(end, pos + 1)
@@ -236,7 +242,7 @@ class ScriptLexer(Lexer):
                     if not whole:
                         open_.append(0)
                 pos = stop + (1 if whole else 2)
-                prev = out[-1]
+                before, prev, slash = prev, out[-1], not whole
                 if pos > end:
                     e = text.find("\n", pos)
                     end = n if e < 0 else e + 1
@@ -263,8 +269,13 @@ class ScriptLexer(Lexer):
                         out.append(self.nl)
                 elif kind not in ("blank", "comment"):
                     out.append(self.kinds[kind])
-            if out and out[-1] != self.nl:
-                prev = out[-1]
+            if out and out[-1] != self.nl and m.lastgroup not in ("blank", "comment", "nl"):
+                before, prev = prev, out[-1]
+                slash = prev not in self.values
+                if prev == self.open:
+                    heads.append(before in self.heads or (before == self.awaited and len(out) > 2 and out[-3] in self.heads))
+                elif prev == self.shut and heads:
+                    slash = heads.pop()
             pos = m.end()
             if pos > end:
                 e = text.find("\n", pos)
@@ -272,13 +283,23 @@ class ScriptLexer(Lexer):
         return "".join(out), pos
 
 
+    def whole(self, text: str) -> bool:
+        if "/" not in text:
+            return False
+        text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+        start = max(text.find("\n"), 0) or len(text) if text.startswith("#!") else 0
+        tokens, _ = self.lex(text, start, len(text), len(text))
+        s = self.g.advance(self.g.begin(), tokens)
+        return s is not None and self.g.advance(s, self.g.eof) is not None
+
+
 class TypedScriptLexer(ScriptLexer):
     punct = " ".join(p for p in ScriptLexer.punct.split() if p not in (">>", ">>>", ">=", ">>=", ">>>="))
 
 
 class PythonLexer(Lexer):
     comment = r"#[^\n]*"
-    string = r"(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?(?:" + r"'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|" + r'"""(?:[^\\"]|\\[\s\S]|"(?!""))*"""|' + r"'(?!'')(?:[^'\\\n]|\\[\s\S])*'|''(?!')|" + r'"(?!"")(?:[^"\\\n]|\\[\s\S])*"|""(?!"))'
+    string = r"(?:[rRbBuU]|[rR][bB]|[bB][rR])?(?:" + r"'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|" + r'"""(?:[^\\"]|\\[\s\S]|"(?!""))*"""|' + r"'(?!'')(?:[^'\\\n]|\\[\s\S])*'|''(?!')|" + r'"(?!"")(?:[^"\\\n]|\\[\s\S])*"|""(?!"))'
     number = r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|0(?:_?0)*|[1-9](?:_?\d)*"
     punct = "( ) [ ] { } , : . ; @ = -> += -= *= /= //= %= @= &= |= ^= >>= <<= **= := + - * ** / // % << >> & | ^ ~ < > <= >= == != ..."
     blank = r"[ \t\f]+|\\\n"
@@ -289,6 +310,87 @@ class PythonLexer(Lexer):
         c = grammar.code
         self.nl, self.indent, self.dedent = c["NL"], c["INDENT"], c["DEDENT"]
         self.opens, self.closes = {c[x] for x in "([{"}, {c[x] for x in ")]}"}
+        self.start, self.field, self.stop, self.equal = c["FSTART"], c["FFIELD"], c["FEND"], c["="]
+        self.formatted = re.compile(r"(?:[fF][rR]?|[rR][fF])(\"\"\"|'''|\"|')").match
+
+    def fstring(self, text: str, pos: int, quote: str, raw: bool) -> tuple[list[str], int]:
+        """Tokens of a formatted string from after its opening quote: those of every field, each closed by a mark."""
+        out, n, long = [self.start], len(text), len(quote) == 3
+        while pos < n:
+            ch = text[pos]
+            if ch == quote[0] and text.startswith(quote, pos):
+                return [*out, self.stop], pos + len(quote)
+            if ch == "\\":
+                pos += 2 if not (raw and text[pos + 1 : pos + 2] in "{}") else 1
+                if not raw and text[pos - 1 : pos + 1] == "N{":
+                    pos = max(text.find("}", pos), pos) + 1
+            elif ch == "\n" and not long:
+                break
+            elif ch == "{" and text[pos + 1 : pos + 2] != "{":
+                pos = self.replaced(text, pos + 1, quote, raw, out)
+                if pos < 0:
+                    break
+            elif ch in "{}":
+                if text[pos + 1 : pos + 2] != ch:
+                    break
+                pos += 2
+            else:
+                pos += 1
+        return [*out, _BAD], n
+
+    def replaced(self, text: str, pos: int, quote: str, raw: bool, out: list[str]) -> int:
+        """Read one field up to after its closing brace; -1 if it has none."""
+        depth, n = 0, len(text)
+        while pos < n:
+            ch = text[pos]
+            if depth == 0 and (ch in "}:" or (ch == "!" and text[pos + 1 : pos + 2] != "=")):
+                break
+            if depth == 0 and ch == "=" and text[pos + 1 : pos + 2] != "=":
+                out.append(self.equal)
+                pos += 1
+                continue
+            tokens, pos, kind = self.token(text, pos)
+            if tokens is None:
+                return -1
+            for t in tokens:
+                depth += (t in self.opens) - (t in self.closes)
+            if depth < 0:
+                return -1
+            out += tokens
+        out.append(self.field)
+        if text[pos : pos + 1] == "!":
+            m = re.compile(r"![ \t]*[rsa][ \t]*(?=[:}])").match(text, pos)
+            if m is None:
+                return -1
+            pos = m.end()
+        if text[pos : pos + 1] == ":":
+            pos += 1
+            while pos < n and text[pos] != "}":  # the format, which may hold fields
+                if text.startswith(quote, pos) or (text[pos] == "\n" and len(quote) == 1):
+                    return -1
+                if text[pos] == "{":
+                    pos = self.replaced(text, pos + 1, quote, raw, out)
+                    if pos < 0:
+                        return -1
+                else:
+                    pos += 1
+        return pos + 1 if text[pos : pos + 1] == "}" else -1
+
+    def token(self, text: str, pos: int) -> tuple[list[str] | None, int, str]:
+        """The tokens at a place (none for blanks, several for a formatted string), where they end, and their kind."""
+        f = self.formatted(text, pos)
+        if f:
+            tokens, end = self.fstring(text, f.end(), f.group(1), "r" in text[pos : f.start(1)].lower())
+            return tokens, end, "string"
+        m = self.rx(text, pos)
+        if m is None:
+            return None, pos, ""
+        kind = m.lastgroup
+        if kind == "word":
+            return [self.word(m.group())], m.end(), kind
+        if kind == "punct":
+            return [self.of[m.group()]], m.end(), kind
+        return [self.kinds[kind]] if kind not in ("blank", "comment", "nl") else [], m.end(), kind
 
     def error_line(self, text: str) -> int:
         if text[:1] == "﻿":
@@ -311,7 +413,7 @@ class PythonLexer(Lexer):
             if hit is None:
                 tokens, stop = self.lex(text, start, end, n)
                 hit = (tokens, sum(t in self.opens for t in tokens) - sum(t in self.closes for t in tokens))
-                if stop == end and not any(m in line for m in self.multi):
+                if stop == end and len(line) <= _LINE_CHARS and not any(m in line for m in self.multi):
                     if len(known) > _LINES:
                         known.clear()
                     known[line] = hit
@@ -342,22 +444,15 @@ class PythonLexer(Lexer):
         return 0 if depth == 0 and g.advance(s, self.dedent * (len(levels) - 1) + g.eof) is not None else line_no
 
     def lex(self, text: str, pos: int, end: int, n: int) -> tuple[str, int]:
-        out = []
-        match, of = self.rx, self.of
+        out: list[str] = []
         while pos < end:
-            m = match(text, pos)
-            if m is None:
+            tokens, stop, kind = self.token(text, pos)
+            if tokens is None:
                 out.append(_BAD)
                 return "".join(out), max(end, pos + 1)
-            kind = m.lastgroup
-            if kind == "word":
-                out.append(self.word(m.group()))
-            elif kind == "punct":
-                out.append(of[m.group()])
-            elif kind not in ("blank", "comment", "nl"):
-                out.append(self.kinds[kind])
-            pos = m.end()
-            if pos > end:  # a long string or a joined line: the logical line goes on
+            out += tokens
+            pos = stop
+            if pos > end or (pos == end < n and kind == "blank"):  # a long string or a joined line: the logical line goes on
                 e = text.find("\n", pos)
                 end = n if e < 0 else e + 1
         return "".join(out), pos
@@ -381,21 +476,11 @@ def lexer(language: str) -> Lexer:
     return _made[language]
 
 
-def _interpreter_refuses(text: str) -> bool:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text[1:] if text[:1] == "﻿" else text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return True
-    return False
-
-
 def error_line(language: str, text: str) -> int:
-    line = lexer(language).error_line(text)
-    if line and language == "python" and not _interpreter_refuses(text):
-        return 0
-    return line
+    """Number of the line with the first error, 0 for a valid file."""
+    lex = lexer(language)
+    line = lex.error_line(text)
+    return 0 if line and lex.whole(text) else line
 
 
 def language_of(path: Column | str) -> Column:

@@ -46,6 +46,17 @@ BROKEN = {
     "json": [("{'a': 1}", 1), ("[1,]", 1), ("[1 2]", 1), ("", 1), ("﻿{}", 1), ("[01]", 1), ('{"a": "b\n"}', 1), ("[NaN]", 1), ("{}{}", 1)],
 }
 
+VALID["javascript"] += ["if (x) /re/.test(y);\nwhile (a) /b/.exec(c)\nfor (const x of y) /a/.test(x)\nz = (a) / 2 / b\n", "if (a &&\n    b) /re[/]/.test(c)\n", "for await (const x of y) /'/.test(x)\n", "[a, b] = [b, a];\n({a, b: c.d} = e);\nf().x = g()[1] += 2\nfor (x.y of z) ;\nlet {q} = r, s\n"]
+VALID["typescript"] += ["function f(this: Foo, a: number) { return this.x! as any }\nx!.y = 1\n(x as any).y = 2\ndeclare const z: string\n", "if (x) /re/.test(y)\n"]
+VALID["python"] += ['f"{a!r:>{w}} {b=} {c:%Y-%m} {{}} {x["k"]} {f\'{1}\'}" + rf"\\d{n}" f\'\'\'{\n  y\n}\'\'\' fr"{x:{y}}"\n', "def f(a, b=1, /, c=2, *, d, e=3, **k): pass\nf(a, *b, c=1, *d, **e, f=2)\nf(x for x in y)\nlambda a, *, b=1: 0\n", "(a, [b, *c]), d.e, f[0] = x = y\na: int = 1\n(a.b): int\nx.y += 1\ndel a, (b.c, d[0])\nfor a, (b, *c) in d: pass\n(await x).y = 1\n"]
+VALID["java"] += ["class A { int y; void f() { x = 1; a.b[0] += 2; i++; --j; g(); a.b().c(); new B(); this.x = y = 2; super.f(); A.<T>g(); (x) = 3; Runnable r = () -> x(); int z = a < b ? c : d; } A() { this(1); } }\n"]
+for _lang, _texts in {
+    "python": ["1 = x\n", "f() = 3\n", 'f"{a b}"\n', "def f(a, a=1, b): pass\n", "f(a=1, b)\n", "f(**a, *b)\n", "f(x for x in y, z)\n", "del f()\n", "for f() in y: pass\n", 'f"{"\n', 'f"}"\n', 'f"{a!x}"\n', "x + 1 = 2\n", "lambda a=1, b: 0\n", "def f(*): pass\n", "a, b += 1\n", "a, b: int\n"],
+    "javascript": ["1 = x;\n", "const x;\n", "let let = 1;\n", "f() = 1;\n", "let {a};\n", "a + b = c;\n"],
+    "java": ["class A { void f() { x + 1; } }\n", "class A { void f() { 1 = 2; } }\n", "class A { void f() { x; } }\n", "class A { void f() { f() = 2; } }\n"],
+}.items():
+    BROKEN[_lang] += [(t, 1) for t in _texts]
+
 
 @pytest.mark.parametrize("lang,text", [(k, t) for k, v in VALID.items() for t in v])
 def test_valid(lang, text):
@@ -101,3 +112,18 @@ def test_table(spark):
     rates = {(r.repo_id, r.language): (r.files, r.invalid) for r in X.error_rates(df).collect()}
     assert rates == {("r", "python"): (2, 1), (None, "javascript"): (1, 1), ("r", "java"): (1, 0)}
     assert X.invalid_files(df.limit(0)).collect() == []
+
+
+def test_memory_of_one_text_is_bounded():
+    from lodeplane.llm import automaton
+
+    g = X.lexer("json").g
+    text = "[" * 2_000 + "1" + "]" * 2_000
+    limit, automaton.LIMIT = automaton.LIMIT, 500
+    try:
+        many = "[" + ",\n".join(f'{"[" * (i % 50)}{i}{"]" * (i % 50)}' for i in range(3_000)) + "]"
+        assert X.error_line("json", many) == 0 and X.error_line("json", many[:-1]) > 0
+        assert len(g._nodes) + len(g._sets) + g._known_lines < 2_000
+    finally:
+        automaton.LIMIT = limit
+    assert X.error_line("json", text) == 0
