@@ -12,8 +12,9 @@ hashed and compared once more as lattices in which every break has both readings
 The items are the small side. They are broadcast in blocks of at most ``BLOCK_WORDS`` words, so the size of what is sent
 is bounded whatever the number of items; each block meets every document whole. The corpus is not shuffled.
 
-Passage and question of an item are one sequence, so that a run may reach from one into the other. Paragraphs that at
-least ``SHARED`` items have in common are instructions and do not count. Null and empty
+Passage and question of an item are one sequence, so that a run may reach from one into the other. A first paragraph that at
+least ``SHARED`` items begin with, and that is not all of the text, is an instruction and does not count; passages count however
+many items share them. Null and empty
 texts on either side give no row; documents delivered twice under one id give their rows once.
 """
 
@@ -270,10 +271,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
     # Held-out items are written by hand; they stream through the driver block by block and are never held together.
     rows = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     rows = rows.dropDuplicates(["item", "text"])
-    parts = rows.select("item", F.explode(F.split("text", _PARTS)).alias("part"))
-    shared = {r.part for r in parts.groupBy("part").agg(F.countDistinct("item").alias("n")).where(F.col("n") >= SHARED).select("part").toLocalIterator()}
+    parts = rows.select("item", "text", F.split("text", _PARTS).alias("parts"))
+    heads = parts.where("size(parts) > 1").groupBy(F.col("parts")[0].alias("head")).agg(F.countDistinct("item").alias("n")).where(F.col("n") >= SHARED).select("head")
+    rows = parts.join(heads, (F.col("parts")[0] == F.col("head")) & (F.size("parts") > 1), "left").select("item", "text", F.when(F.col("head").isNull(), F.col("parts")).otherwise(F.slice("parts", F.lit(2), F.size("parts"))).alias("parts"))
     readings = lambda ps: [s for k, s in enumerate([w for p in ps for w in f(p)] for f in (words_of, joined_words)) if not k or any(wrapped_words(p)[1] for p in ps)]
-    sequences = ((r.item, ws) for r in rows.orderBy("item", "text").toLocalIterator() for ws in readings([p for p in re.split(_PARTS, r.text) if p not in shared]))
+    sequences = ((r.item, ws) for r in rows.orderBy("item", "text").toLocalIterator() for ws in readings(r.parts))
     found = None
     for block in _blocks(((i, ws) for i, ws in sequences if len(ws) >= MIN_RUN), block_words):
         sent = spark.sparkContext.broadcast(block)

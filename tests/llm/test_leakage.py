@@ -93,3 +93,11 @@ def test_against_brute_force(spark):
             if any(L.tolerant_run(np.array([w[p + o] == x[p] if 0 <= p + o < len(w) else False for p in range(max(0, -o), min(len(x), len(w) - o))])) for o in range(-len(x) + 15, len(w) - 14)):
                 want.add((i, k))
     assert found(spark, docs, items) == want
+
+
+def test_passages_shared_by_items_count_and_instructions_do_not(spark):
+    passage = "the ember keeps build strict headers while score after triplelix waits for eighty frabru to build nodes again"
+    head = "read the passage about the service below and answer the question that follows in one short and clear sentence please"
+    items = spark.createDataFrame([(i, f"{head}\n\n{passage}\n\nwhy does number {i} wait") for i in range(5)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"x y {passage} z"), (2, head)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in L.leaked_items(docs, items).collect()) == [(1, i) for i in range(5)]
