@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_FAMILIES = ("q_entities", "q_diffs", "q_aggregates", "q_graphs", "q_search", "q_sql", "q_sources", "q_extraction", "q_streams", "q_more")
+_FAMILIES = ("q_entities", "q_diffs", "q_aggregates", "q_graphs", "q_search", "q_sql", "q_sources", "q_extraction", "q_streams", "q_more", "q_functions", "q_reports")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _name in _FAMILIES:

@@ -31,6 +31,28 @@ def repo_edges(spark: SparkSession, d: str) -> DataFrame:
     return clean.where("src is not null and dst is not null and src <> dst").distinct().groupBy("src", "dst").agg(F.count("*").alias("calls"))
 
 
+#: Version and running number of a route, which callers and served entry points spell each in their own way.
+_CALLED, _SERVED = r"^/(?:api|internal|v[0-9]+)/([a-z]+)/[^/:{]+", r"^/(?:api|internal|v[0-9]+)/([a-z]+)-[^/]+"
+
+
+def called_route(c: str = "route"):
+    """The route of a call without version and running number."""
+    return F.regexp_replace(F.trim(c), _CALLED, "/$1")
+
+
+def served_route(c: str = "route"):
+    """The route of an entry point without version and running number."""
+    return F.regexp_replace(F.trim(c), _SERVED, "/$1")
+
+
+def sql_called(c: str = "route") -> str:
+    return f"regexp_replace(trim({c}), '{_CALLED}', '/\\1')"
+
+
+def sql_served(c: str = "route") -> str:
+    return f"regexp_replace(trim({c}), '{_SERVED}', '/\\1')"
+
+
 def sql_apis(name: str = "w", kind: str = "working") -> str:
     return f"{name} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, api_id ORDER BY received_at DESC NULLS LAST, first_seen_at DESC NULLS LAST, diff DESC NULLS LAST) AS rn FROM apis WHERE snapshot_kind = '{kind}' AND api_id IS NOT NULL) WHERE rn = 1 AND deleted_at IS NULL)"
 

@@ -93,14 +93,6 @@ def a5_totals(spark, d):
 SQL["a5_totals"] = f"WITH {sql_files()}, {sql_apis()}, {SQL_REPOS} SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM w) AS apis, count(*) AS repos, count(DISTINCT technology) AS technologies, count(*) FILTER (WHERE status = 'ready') AS ready FROM r"
 
 
-def a7_symbols_over(spark, d):
-    """Files with more than three entry points declared in them."""
-    return apis(spark, d).groupBy("repo_id", "file_path").agg(F.count("*").alias("n")).where("n > 3")
-
-
-SQL["a7_symbols_over"] = f"WITH {sql_apis()} SELECT repo_id, file_path, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) > 3"
-
-
 def a8_near_duplicates(spark, d):
     """First-wins removal among open findings of one day: same customer or same price."""
     f = _findings(spark, d).where("status = 'O'").withColumn("day", F.to_date("created_at"))

@@ -167,11 +167,20 @@ SELECT CASE WHEN c THEN 'modified' ELSE 'unchanged' END AS status, count(*) AS n
 
 
 def d13_changed_entities(spark, d):
+    """Functions of the files that are new or have another hash, with their first line."""
+    from lodeplane.operators import callgraph
+
     f = diffs.keyed_diff(files(spark, d, "baseline"), files(spark, d), _KEY, ["hash"]).where("status in ('added', 'modified')")
-    return apis(spark, d).join(f.select("repo_id", F.col("path").alias("file_path"), "status"), ["repo_id", "file_path"]).select("repo_id", "api_id", "status")
+    return callgraph.functions(files(spark, d)).join(f.select("repo_id", "path", "status"), ["repo_id", "path"]).select("repo_id", "path", "name", "line", "status")
+
+
+def _functions_sql() -> str:
+    from lodeplane.plans.q_functions import _FUNCTIONS
+
+    return _FUNCTIONS
 
 
-SQL["d13_changed_entities"] = f"WITH {sql_files('b', 'baseline')}, {sql_files('f')}, {sql_apis()} SELECT w.repo_id, w.api_id, CASE WHEN b.path IS NULL THEN 'added' ELSE 'modified' END AS status FROM w JOIN f ON f.repo_id = w.repo_id AND f.path = w.file_path LEFT JOIN b ON b.repo_id = f.repo_id AND b.path = f.path WHERE b.path IS NULL OR b.hash IS DISTINCT FROM f.hash"
+SQL["d13_changed_entities"] = f"WITH {_functions_sql()}, {sql_files('b', 'baseline')} SELECT fn.repo_id, fn.path, fn.name, fn.line, CASE WHEN b.path IS NULL THEN 'added' ELSE 'modified' END AS status FROM fn JOIN f ON f.repo_id = fn.repo_id AND f.path = fn.path LEFT JOIN b ON b.repo_id = f.repo_id AND b.path = f.path WHERE b.path IS NULL OR b.hash IS DISTINCT FROM f.hash"
 
 
 def d14_review_delta(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeplane.functions import paths, routes
 from lodeplane.operators import diffs, entities
-from lodeplane.plans.common import SQL_REPOS, apis, collect, files, repos, sql_apis, sql_files
+from lodeplane.plans.common import SQL_REPOS, apis, collect, files, repos, sql_apis, sql_files, called_route, served_route, sql_called, sql_served
 from lodeplane.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -274,9 +274,9 @@ def j5_canonical_routes(spark, d):
 
     from lodeplane.functions.text import filled
 
-    calls = table(spark, d, "cross_repo_http_edges").select(filled("source_repo").alias("consumer"), filled("target_repo").alias("repo"), routes.canonical(F.trim("route")).alias("canon")).where("consumer is not null and repo is not null").distinct()
+    calls = table(spark, d, "cross_repo_http_edges").select(filled("source_repo").alias("consumer"), filled("target_repo").alias("repo"), routes.canonical(called_route()).alias("canon")).where("consumer is not null and repo is not null").distinct()
     order = F.array_position(F.array(*[F.lit(m) for m in ("GET", "POST", "PUT", "PATCH", "DELETE")]), F.upper("method"))
-    served = apis(spark, d).select(F.lower("repo_id").alias("repo"), routes.canonical("route").alias("canon"), F.upper("method").alias("method"), order.alias("verb")).where("verb > 0").distinct()
+    served = apis(spark, d).select(F.lower("repo_id").alias("repo"), routes.canonical(served_route()).alias("canon"), F.upper("method").alias("method"), order.alias("verb")).where("verb > 0").distinct()
     w = Window.partitionBy("consumer", "repo", "canon").orderBy("verb")
     return calls.join(served, ["repo", "canon"]).withColumn("rn", F.row_number().over(w)).where("rn = 1").groupBy("repo", "method").agg(F.count("*").alias("calls"), F.countDistinct("consumer").alias("consumers"))
 
@@ -286,8 +286,8 @@ def _canon(c: str) -> str:
     return f"(CASE WHEN length({r}) > 1 THEN regexp_replace({r}, '/$', '') WHEN {r} = '' THEN '/' ELSE {r} END)"
 
 
-SQL["j5_canonical_routes"] = f"""WITH {sql_apis()}, c AS (SELECT DISTINCT nullif(lower(trim(source_repo)), '') AS consumer, nullif(lower(trim(target_repo)), '') AS repo, {_canon('trim(route)')} AS canon FROM cross_repo_http_edges),
-s AS (SELECT DISTINCT lower(repo_id) AS repo, {_canon('route')} AS canon, upper(method) AS method, list_position(['GET', 'POST', 'PUT', 'PATCH', 'DELETE'], upper(method)) AS verb FROM w),
+SQL["j5_canonical_routes"] = f"""WITH {sql_apis()}, c AS (SELECT DISTINCT nullif(lower(trim(source_repo)), '') AS consumer, nullif(lower(trim(target_repo)), '') AS repo, {_canon(sql_called())} AS canon FROM cross_repo_http_edges),
+s AS (SELECT DISTINCT lower(repo_id) AS repo, {_canon(sql_served())} AS canon, upper(method) AS method, list_position(['GET', 'POST', 'PUT', 'PATCH', 'DELETE'], upper(method)) AS verb FROM w),
 k AS (SELECT consumer, c.repo, method, row_number() OVER (PARTITION BY consumer, c.repo, c.canon ORDER BY verb) AS rn FROM c JOIN s ON s.repo = c.repo AND s.canon = c.canon WHERE verb > 0 AND consumer IS NOT NULL)
 SELECT repo, method, count(*) AS calls, count(DISTINCT consumer) AS consumers FROM k WHERE rn = 1 GROUP BY 1, 2"""
 

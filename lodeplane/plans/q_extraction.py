@@ -88,17 +88,4 @@ def e14_roots(spark, d):
 SQL["e14_roots"] = f"WITH {sql_files()}, x AS (SELECT DISTINCT repo_id, regexp_replace(path, '(^|/)[^/]*$', '') AS root, regexp_replace(path, '^.*/', '') AS m FROM f WHERE regexp_replace(path, '^.*/', '') IN ('package.json', 'go.mod', 'pom.xml', 'pyproject.toml', '.npmrc', 'package-lock.json', '.env')) SELECT repo_id, root, string_agg(m, ',' ORDER BY m) AS markers FROM x GROUP BY 1, 2"
 
 
-def e2_symbols(spark, d):
-    return extract.python_symbols(files(spark, d)).groupBy("repo_id", "kind").agg(F.count("*").alias("n"))
-
-
-SQL["e2_symbols"] = ""
-
-
-def g1_call_edges(spark, d):
-    return extract.call_edges(extract.python_symbols(files(spark, d))).groupBy("repo_id", "confidence").agg(F.count("*").alias("edges"))
-
-
-SQL["g1_call_edges"] = ""
-
 QUERIES, ORACLE = collect(globals(), SQL)

@@ -37,14 +37,6 @@ def g3_impact(spark, d):
 SQL["g3_impact"] = f"WITH RECURSIVE {SQL_EDGES}, {SQL_REPOS}, {_SEEDS}, {_walk('dst', 'src', 2)} SELECT node, min(depth) AS depth FROM x WHERE node NOT IN (SELECT seed FROM s) GROUP BY 1"
 
 
-def g4_strong_impact(spark, d):
-    """Impact over strong edges alone (three distinct calls or more)."""
-    return graph.impact(repo_edges(spark, d).where("calls >= 3"), _seeds(spark, d), 4)
-
-
-SQL["g4_strong_impact"] = f"WITH RECURSIVE {SQL_EDGES.replace('e AS', 'e0 AS')}, e AS (SELECT * FROM e0 WHERE calls >= 3), {SQL_REPOS}, {_SEEDS}, {_walk('dst', 'src', 4)} SELECT node, min(depth) AS depth FROM x WHERE node NOT IN (SELECT seed FROM s) GROUP BY 1"
-
-
 def g5_paths(spark, d):
     """Shortest call paths from the repositories that failed to those of their own group (the first word of the name)."""
     g = lambda c: F.split(c, "-")[0].alias("grp")
@@ -98,16 +90,25 @@ SQL["g11_uncalled"] = f"WITH {SQL_EDGES}, {sql_apis()} SELECT DISTINCT lower(rep
 
 
 def g12_orphan_groups(spark, d):
-    """Groups of repositories without a call to or from another group and without entry points."""
-    g = lambda c: F.split(c, "-")[0]
-    e = repo_edges(spark, d).select(g(F.col("src")).alias("a"), g(F.col("dst")).alias("b")).where("a <> b")
-    linked = e.select(F.explode(F.array("a", "b")).alias("grp")).distinct()
-    with_api = apis(spark, d).select(g(F.lower("repo_id")).alias("grp")).distinct()
-    all_ = repos(spark, d).select(g(F.lower("repo_id")).alias("grp")).distinct()
-    return all_.select("grp", F.lit(1).alias("x")).join(linked, "grp", "left").join(with_api, "grp", "left").groupBy("grp").agg(F.count("*").alias("n")).join(linked, "grp", "left_anti")
+    """Folders of source files that import from no other folder of their repository, from which none imports, and without entry points."""
+    from lodeplane.functions import paths
+    from lodeplane.operators import callgraph
+
+    f = files(spark, d).where(F.col("path").rlike(callgraph.SCRIPT) | F.col("path").rlike(callgraph.OTHER))
+    here = f.select("repo_id", "path", paths.dirname("path").alias("grp"), F.regexp_extract("path", r"([^/]+?)(?:\.\w+)?$", 1).alias("module"))
+    link = callgraph.modules(files(spark, d)).select("repo_id", paths.dirname("path").alias("a"), "module").join(here.select("repo_id", "module", F.col("grp").alias("b")), ["repo_id", "module"]).where("a <> b")
+    linked = link.select("repo_id", F.explode(F.array("a", "b")).alias("grp")).unionByName(apis(spark, d).select("repo_id", paths.dirname(F.trim("file_path")).alias("grp"))).distinct()
+    return here.groupBy("repo_id", "grp").agg(F.count("*").alias("files")).join(linked, ["repo_id", "grp"], "left_anti")
 
 
-SQL["g12_orphan_groups"] = f"WITH {SQL_EDGES}, g AS (SELECT DISTINCT string_split(lower(repo_id), '-')[1] AS grp FROM repos), l AS (SELECT string_split(src, '-')[1] AS a, string_split(dst, '-')[1] AS b FROM e) SELECT grp, 1 AS n FROM g WHERE grp NOT IN (SELECT a FROM l WHERE a <> b UNION SELECT b FROM l WHERE a <> b)"
+def _graph_sql() -> str:
+    from lodeplane.plans.q_functions import _GRAPH
+
+    return _GRAPH
+
+
+_DIR = "regexp_replace({}, '(^|/)[^/]*$', '')"
+SQL["g12_orphan_groups"] = f"WITH {_graph_sql()}, {sql_apis()}, h AS (SELECT repo_id, path, {_DIR.format('path')} AS grp, regexp_extract(path, '([^/]+?)(?:\\.\\w+)?$', 1) AS module FROM f WHERE regexp_matches(path, '\\.(js|mjs|cjs|jsx|ts|tsx|py|go|java)$')), k AS (SELECT m.repo_id, {_DIR.format('m.path')} AS a, h.grp AS b FROM m JOIN h ON h.repo_id = m.repo_id AND h.module = m.module WHERE m.module <> ''), x AS (SELECT repo_id, a AS grp FROM k WHERE a <> b UNION SELECT repo_id, b FROM k WHERE a <> b UNION SELECT repo_id, {_DIR.format('trim(file_path)')} FROM w WHERE file_path IS NOT NULL) SELECT repo_id, grp, count(*) AS files FROM h WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.repo_id = h.repo_id AND x.grp = h.grp) GROUP BY 1, 2"
 
 
 def _weights(spark, d):
@@ -196,12 +197,14 @@ SQL["g19_matched_groups"] = ""
 
 
 def g23_shared_files(spark, d):
-    """Pairs of methods that share files, with their number."""
-    m = apis(spark, d).select(F.upper("method").alias("grp"), F.concat_ws("|", "repo_id", "file_path").alias("member"))
+    """Pairs of methods that share folders, with their number."""
+    from lodeplane.functions import paths
+
+    m = apis(spark, d).where("file_path is not null").select(F.upper("method").alias("grp"), F.concat_ws("|", "repo_id", paths.dirname("file_path")).alias("member"))
     return graph.overlaps(m)
 
 
-SQL["g23_shared_files"] = f"WITH {sql_apis()}, m AS (SELECT DISTINCT upper(method) AS grp, repo_id || '|' || file_path AS member FROM w) SELECT a.grp AS a, b.grp AS b, count(*) AS shared FROM m a JOIN m b ON a.member = b.member AND a.grp < b.grp GROUP BY 1, 2"
+SQL["g23_shared_files"] = f"WITH {sql_apis()}, m AS (SELECT DISTINCT upper(method) AS grp, repo_id || '|' || regexp_replace(file_path, '(^|/)[^/]*$', '') AS member FROM w WHERE file_path IS NOT NULL) SELECT a.grp AS a, b.grp AS b, count(*) AS shared FROM m a JOIN m b ON a.member = b.member AND a.grp < b.grp GROUP BY 1, 2"
 
 
 def g25_api_list(spark, d):

@@ -31,14 +31,15 @@ SQL["r5_scored_findings"] = "WITH s AS (SELECT doc_id, " + " + ".join(f"CASE WHE
 
 
 def j3_services_hit(spark, d):
-    """Technologies of the repositories whose root another root begins with (without a slash: a wider rule than the longest prefix)."""
+    """Folders of repositories that a root begins with (without a slash: a wider rule than the longest prefix), with their roots."""
     r = repos(spark, d).where("root_path is not null").select("repo_id", "root_path")
-    # equal beginnings by equality on every prefix of the longer one that ends at a word border
-    p = r.select(F.col("repo_id").alias("inner"), F.explode(F.transform(F.sequence(F.lit(1), F.length("root_path")), lambda n: F.substring(F.col("root_path"), F.lit(1), n))).alias("root_path"))
-    return p.join(r, "root_path").where("inner <> repo_id").select("repo_id", "inner")
+    held = r.select(paths.dirname("root_path").alias("folder")).distinct()
+    # equal beginnings by equality on every prefix of a root
+    p = r.select("repo_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("root_path")), lambda n: F.substring(F.col("root_path"), F.lit(1), n))).alias("folder"))
+    return p.join(held, "folder").groupBy("folder").agg(F.count("*").alias("repos"))
 
 
-SQL["j3_services_hit"] = f"WITH {SQL_REPOS} SELECT a.repo_id, b.repo_id AS inner FROM r a JOIN r b ON starts_with(b.root_path, a.root_path) AND a.repo_id <> b.repo_id"
+SQL["j3_services_hit"] = f"WITH {SQL_REPOS}, h AS (SELECT DISTINCT regexp_replace(root_path, '(^|/)[^/]*$', '') AS folder FROM r WHERE root_path IS NOT NULL) SELECT folder, count(*) AS repos FROM h JOIN r ON starts_with(root_path, folder) WHERE folder <> '' GROUP BY 1"
 
 
 def j7_anchored_points(spark, d):

@@ -77,13 +77,24 @@ SQL["r9_nearest_vectors"] = "SELECT vec_id, round(list_cosine_similarity(embeddi
 
 
 def r10_exact_evidence(spark, d):
-    """Handler names that the content of their file holds."""
-    n = apis(spark, d).select("repo_id", F.col("file_path").alias("path"), "handler_name")
-    h = files(spark, d).where("content is not null").select("repo_id", "path", "content")
-    return search.exact_evidence(n, h, ["repo_id", "path"], "handler_name", "content").groupBy("repo_id").agg(F.count("*").alias("n"))
+    """Lines that define functions in working files and that the baseline of their file holds, blanks squeezed."""
+    from lodeplane.operators import callgraph
+
+    n = callgraph.lines(files(spark, d)).where(callgraph.defined("path", "src").isNotNull()).select("repo_id", "path", "src").distinct()
+    h = files(spark, d, "baseline").where("content is not null").select("repo_id", "path", "content")
+    return search.exact_evidence(n, h, ["repo_id", "path"], "src", "content").groupBy("repo_id").agg(F.count("*").alias("n"))
+
+
+def _lines_sql() -> str:
+    from lodeplane.plans.q_functions import _LINES
+
+    return _LINES
+
+
+_SQUEEZED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+SQL["r10_exact_evidence"] = f"WITH {_lines_sql()}, {sql_files('b', 'baseline')}, x AS (SELECT DISTINCT repo_id, path, src FROM n WHERE name IS NOT NULL) SELECT x.repo_id, count(*) AS n FROM x JOIN b ON b.repo_id = x.repo_id AND b.path = x.path WHERE length({_SQUEEZED.format('src')}) >= 8 AND contains({_SQUEEZED.format('b.content')}, {_SQUEEZED.format('src')}) GROUP BY 1"
 
 
-SQL["r10_exact_evidence"] = f"WITH {sql_apis()}, {sql_files()} SELECT w.repo_id, count(*) AS n FROM w JOIN f ON f.repo_id = w.repo_id AND f.path = w.file_path WHERE length(trim(handler_name)) >= 8 AND contains(trim(regexp_replace(content, '\\s+', ' ', 'g')), trim(regexp_replace(handler_name, '\\s+', ' ', 'g'))) GROUP BY 1"
 #: Intents by keyword, the first that a route contains wins (fixed values).
 DOMAINS = (("auth", "Authenticate users"), ("login", "Authenticate users"), ("session", "Authenticate users"), ("token", "Authenticate users"), ("payment", "Process payments"), ("billing", "Process payments"), ("invoice", "Process payments"), ("checkout", "Process payments"), ("order", "Manage orders"), ("cart", "Manage orders"), ("search", "Search content"), ("query", "Search content"), ("index", "Search content"), ("webhook", "Integrate with external services"), ("user", "Manage profiles"), ("health", "Health & readiness"), ("status", "Health & readiness"), ("file", "Transfer files"), ("catalog", "Manage products"), ("refund", "Process payments"), ("dispute", "Process payments"), ("coupon", "Process payments"))
 
@@ -123,16 +134,20 @@ SQL["f12_marker_counts"] = f"WITH {sql_files()} SELECT repo_id, sum(len(regexp_e
 
 
 def j4_template_match(spark, d):
-    """Routes called across repositories that match an entry point of the called one by shape of the template."""
+    """Routes called across repositories that match the template of an entry point of the called one; candidates have the same
+    first word and number of segments."""
     from lodeplane.functions.text import filled
+    from lodeplane.plans.common import called_route, served_route
 
-    c = table(spark, d, "cross_repo_http_edges").select(filled("target_repo").alias("repo"), F.trim("route").alias("call")).where("repo is not null").distinct().withColumn("canon", routes.canonical("call"))
-    a = apis(spark, d).select(F.lower("repo_id").alias("repo"), routes.canonical("route").alias("canon")).distinct()
-    return c.join(a, ["repo", "canon"], "left_semi").groupBy("repo").agg(F.count("*").alias("matched"))
+    word = lambda c: F.split(c, "/")[1]
+    c = table(spark, d, "cross_repo_http_edges").select(filled("target_repo").alias("repo"), F.regexp_replace(called_route(), r"/+$", "").alias("call")).where("repo is not null").distinct().withColumn("word", word(F.col("call"))).withColumn("n", F.size(F.split("call", "/")))
+    a = apis(spark, d).select(F.lower("repo_id").alias("repo"), F.regexp_replace(served_route(), r"/+$", "").alias("tpl")).distinct().select("repo", word(F.col("tpl")).alias("word"), F.size(F.split("tpl", "/")).alias("n"), routes.template_regex("tpl").alias("tpl"))
+    return c.join(a, ["repo", "word", "n"]).where(F.expr("call rlike tpl")).select("repo", "call").distinct().groupBy("repo").agg(F.count("*").alias("matched"))
 
 
-from lodeplane.plans.q_entities import _canon  # noqa: E402
+from lodeplane.plans.common import sql_called, sql_served  # noqa: E402
 
-SQL["j4_template_match"] = f"WITH {sql_apis()}, c AS (SELECT DISTINCT nullif(lower(trim(target_repo)), '') AS repo, trim(route) AS call FROM cross_repo_http_edges), a AS (SELECT DISTINCT lower(repo_id) AS repo, {_canon('route')} AS canon FROM w) SELECT c.repo, count(*) AS matched FROM c WHERE (c.repo, {_canon('call')}) IN (SELECT (repo, canon) FROM a) GROUP BY 1"
+_TEMPLATE = "'^' || regexp_replace(regexp_replace(tpl, '([.+*?^$|()\\[\\]\\\\])', '\\\\\\1', 'g'), ':[A-Za-z_]\\w*|\\{[A-Za-z_]\\w*\\}|<[A-Za-z_]\\w*>', '[^/]+', 'g') || '$'"
+SQL["j4_template_match"] = f"WITH {sql_apis()}, c AS (SELECT DISTINCT nullif(lower(trim(target_repo)), '') AS repo, regexp_replace({sql_called()}, '/+$', '') AS call FROM cross_repo_http_edges), a AS (SELECT DISTINCT lower(repo_id) AS repo, regexp_replace({sql_served()}, '/+$', '') AS tpl FROM w) SELECT repo, count(*) AS matched FROM (SELECT DISTINCT c.repo, call FROM c JOIN a USING (repo) WHERE regexp_matches(call, {_TEMPLATE})) GROUP BY 1"
 
 QUERIES, ORACLE = collect(globals(), SQL)

@@ -229,3 +229,18 @@ def test_scan(spark, tmp_path):
     (tmp_path / "src/c.bin").write_bytes(b"1234")
     got = {r.path: r.content for r in formats.scan(spark, str(tmp_path), endings=("py",)).collect()}
     assert got == {"src/a.py": "x = 1\n"}
+
+
+def test_functions_calls_and_graph(spark):
+    from lodeplane.operators import callgraph as C
+
+    py = "import os\nfrom lib.util import pack\n\ndef outer(a):\n    return inner(a) + pack(a)\n\nclass A:\n    async def inner(self):\n        return os.getcwd()\n"
+    ts = "import { x } from './util';\nexport const run = async (a: number): Promise<void> => {\n  help(a);\n};\nfunction help(a) {\n  if (a) { return; }\n}\nclass K {\n  private go(b: string): void {\n    run(b);\n  }\n}\n"
+    go = "package a\nfunc (t *T) Do(x int) error {\n\treturn step(x)\n}\nfunc step(x int) error { return nil }\n"
+    java = "class A {\n    public static int top(int x) {\n        return low(x);\n    }\n    private int low(int x) {\n        return x;\n    }\n}\n"
+    rows = [("r", "a.py", py), ("r", "lib/util.py", "def pack(x):\r\n    return x\r\n"), ("r", "b.ts", ts), ("r", "c.go", go), ("r", "D.java", java), ("r", "n.py", None), ("r", None, "def f(): pass"), ("r", "a.py", py)]
+    df = spark.createDataFrame(rows, "repo_id string, path string, content string").withColumn("name", F.lit("clash")).withColumn("line", F.lit(1))
+    assert sorted((r.path, r.name, r.line) for r in C.functions(df).collect()) == [("D.java", "low", 5), ("D.java", "top", 2), ("a.py", "inner", 8), ("a.py", "outer", 4), ("b.ts", "go", 9), ("b.ts", "help", 5), ("b.ts", "run", 2), ("c.go", "Do", 2), ("c.go", "step", 5), ("lib/util.py", "pack", 1)]
+    got = {(r.src, r.dst): r.confidence for r in C.call_graph(df).collect()}
+    assert got == {("a.py::outer", "a.py::inner"): 0.85, ("a.py::outer", "lib/util.py::pack"): 0.7, ("b.ts::run", "b.ts::help"): 0.9, ("b.ts::go", "b.ts::run"): 0.9, ("c.go::Do", "c.go::step"): 0.85, ("D.java::top", "D.java::low"): 0.85}
+    assert C.call_graph(df.limit(0)).collect() == []
