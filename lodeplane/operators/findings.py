@@ -26,7 +26,7 @@ def first_titles(findings: DataFrame, by: Column, title: str, order: str, n: int
     return some.select(F.col("_g").alias("value"), "findings", F.array_join(F.transform("x", lambda s: s["t"]), "; ").alias("titles"))
 
 
-def greedy_distinct(findings: DataFrame, group: str, order: Sequence[str], same: Sequence[str], buckets: int = 32) -> DataFrame:
+def greedy_distinct(findings: DataFrame, group: str, order: Sequence[str], same: Sequence[str]) -> DataFrame:
     """First-wins removal of near-duplicates within a group: a finding goes if one of the ``same`` columns equals that of
     an earlier kept one. Each column is an equality, so the first holder of each value decides; chains are resolved by
     rounds in which only findings all of whose values are held by themselves stay, until nothing is undecided."""
@@ -37,8 +37,8 @@ def greedy_distinct(findings: DataFrame, group: str, order: Sequence[str], same:
     while True:
         first = todo
         for i, c in enumerate(same):
-            w = Window.partitionBy(group, c)
-            first = first.withColumn(f"_f{i}", F.when(F.col(c).isNull(), F.col("_id")).otherwise(F.min("_id").over(w)))
+            holders = todo.where(F.col(c).isNotNull()).groupBy(F.col(group).alias("_hg"), F.col(c).alias("_hv")).agg(F.min("_id").alias(f"_m{i}"))  # combined on the map side, nulls left out
+            first = first.join(holders, F.col(group).eqNullSafe(F.col("_hg")) & (F.col(c) == F.col("_hv")), "left").withColumn(f"_f{i}", F.coalesce(f"_m{i}", F.col("_id"))).drop("_hg", "_hv", f"_m{i}")
         wins = first.where(" and ".join(f"_f{i} = _id" for i in range(len(same)))).select(*todo.columns)
         wins = materialise(wins)
         kept = wins if kept is None else kept.unionByName(wins)

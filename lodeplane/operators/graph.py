@@ -74,12 +74,12 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return undirected.groupBy("a", "b").agg(F.countDistinct("up").alias("n")).where("n = 2").select("a", "b")
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left when nodes without callers or without called ones are taken away again and again; empty if and only if
     the graph has no cycle."""
     e = materialise(edges.select("src", "dst").where("src <> dst").distinct())
     left = e.count()
-    for _ in range(rounds):
+    while left:  # each round takes an edge away or is the last
         e = materialise(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
         now = e.count()
         if now == left:
@@ -163,11 +163,11 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, least: float = 0.3) -> Data
     return j.select("l", "r", F.round(F.col("c") / (F.col("nl") + F.col("nr") - F.col("c")), 9).alias("score")).where(F.col("score") >= least)
 
 
-def greedy_matching(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def greedy_matching(pairs: DataFrame) -> DataFrame:
     """One-to-one matching by descending score, then names. Pairs that are the best left for both their ends are taken in
     rounds, which gives the same as taking them one by one."""
     left, taken = materialise(pairs.select("l", "r", "score")), None
-    for _ in range(rounds):
+    while True:  # the first pair of all is taken in each round
         order = [F.desc("score"), F.asc("l"), F.asc("r")]
         ranked = left.withColumn("_l", F.row_number().over(Window.partitionBy("l").orderBy(*order))).withColumn("_r", F.row_number().over(Window.partitionBy("r").orderBy(*order)))
         best = materialise(ranked.where("_l = 1 and _r = 1").select("l", "r", "score"))

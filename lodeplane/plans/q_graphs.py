@@ -24,25 +24,24 @@ def _walk(a, b, depth):
 
 
 def g2_reachable(spark, d):
-    return graph.reachable(repo_edges(spark, d), _seeds(spark, d), 3)
+    return graph.reachable(repo_edges(spark, d), _seeds(spark, d), 5)
 
 
-SQL["g2_reachable"] = f"WITH RECURSIVE {SQL_EDGES}, {SQL_REPOS}, {_SEEDS}, {_walk('src', 'dst', 3)} SELECT seed, node, min(depth) AS depth FROM x GROUP BY 1, 2 HAVING min(depth) > 0"
+SQL["g2_reachable"] = f"WITH RECURSIVE {SQL_EDGES}, {SQL_REPOS}, {_SEEDS}, {_walk('src', 'dst', 5)} SELECT seed, node, min(depth) AS depth FROM x GROUP BY 1, 2 HAVING min(depth) > 0"
 
 
 def g3_impact(spark, d):
-    return graph.impact(repo_edges(spark, d), _seeds(spark, d), 2)
+    return graph.impact(repo_edges(spark, d), _seeds(spark, d), 5)
 
 
-SQL["g3_impact"] = f"WITH RECURSIVE {SQL_EDGES}, {SQL_REPOS}, {_SEEDS}, {_walk('dst', 'src', 2)} SELECT node, min(depth) AS depth FROM x WHERE node NOT IN (SELECT seed FROM s) GROUP BY 1"
+SQL["g3_impact"] = f"WITH RECURSIVE {SQL_EDGES}, {SQL_REPOS}, {_SEEDS}, {_walk('dst', 'src', 5)} SELECT node, min(depth) AS depth FROM x WHERE node NOT IN (SELECT seed FROM s) GROUP BY 1"
 
 
 def g5_paths(spark, d):
-    """Shortest call paths from the repositories that failed to those of their own group (the first word of the name)."""
-    g = lambda c: F.split(c, "-")[0].alias("grp")
-    starts = _seeds(spark, d).distinct().select(F.col("seed").alias("start"), g("seed"))
-    pairs = starts.join(_nodes(spark, d).select(F.col("node").alias("target"), g("node")), "grp").select("start", "target")
-    return graph.shortest_paths(repo_edges(spark, d), pairs, 4)
+    """Shortest call paths, up to eight calls, from the repositories that failed to all that they reach."""
+    starts = _seeds(spark, d).distinct()
+    reached = graph.reachable(repo_edges(spark, d), starts, 8).select(F.col("seed").alias("start"), F.col("node").alias("target"))
+    return graph.shortest_paths(repo_edges(spark, d), reached, 8)
 
 
 SQL["g5_paths"] = ""  # all simple paths are too many for SQL on the whole graph; tests compare with breadth-first search
@@ -50,12 +49,12 @@ SQL["g5_paths"] = ""  # all simple paths are too many for SQL on the whole graph
 
 def g7_impact_summary(spark, d):
     """Direct and further impact with the entry points that lie in the repositories hit."""
-    hit = graph.impact(repo_edges(spark, d), _seeds(spark, d), 2)
+    hit = graph.impact(repo_edges(spark, d), _seeds(spark, d), 4)
     n = apis(spark, d).groupBy(F.lower("repo_id").alias("node")).agg(F.count("*").alias("entry_points"))
     return hit.join(n, "node", "left").groupBy("depth").agg(F.count("*").alias("repositories"), F.sum(F.coalesce("entry_points", F.lit(0))).alias("entry_points"))
 
 
-SQL["g7_impact_summary"] = f"WITH RECURSIVE {SQL_EDGES}, {SQL_REPOS}, {sql_apis()}, {_SEEDS}, {_walk('dst', 'src', 2)}, h AS (SELECT node, min(depth) AS depth FROM x WHERE node NOT IN (SELECT seed FROM s) GROUP BY 1), n AS (SELECT lower(repo_id) AS node, count(*) AS entry_points FROM w GROUP BY 1) SELECT depth, count(*) AS repositories, sum(coalesce(entry_points, 0)) AS entry_points FROM h LEFT JOIN n USING (node) GROUP BY 1"
+SQL["g7_impact_summary"] = f"WITH RECURSIVE {SQL_EDGES}, {SQL_REPOS}, {sql_apis()}, {_SEEDS}, {_walk('dst', 'src', 4)}, h AS (SELECT node, min(depth) AS depth FROM x WHERE node NOT IN (SELECT seed FROM s) GROUP BY 1), n AS (SELECT lower(repo_id) AS node, count(*) AS entry_points FROM w GROUP BY 1) SELECT depth, count(*) AS repositories, sum(coalesce(entry_points, 0)) AS entry_points FROM h LEFT JOIN n USING (node) GROUP BY 1"
 
 
 def a6_fans(spark, d):

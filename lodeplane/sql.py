@@ -78,10 +78,12 @@ def relations(spark: SparkSession, sql: str) -> set[str]:
                                     raise
                                 except Exception:  # noqa: BLE001
                                     continue
+                            else:
+                                raise Refused("a subquery cannot be checked")
                 except Refused:
                     raise
-                except Exception:  # noqa: BLE001
-                    continue
+                except Exception as e:  # noqa: BLE001
+                    raise Refused(f"an expression cannot be checked: {str(e).splitlines()[0][:100]}") from None
     return named - own
 
 
