@@ -38,6 +38,7 @@ from lodeplane.session import materialise
 
 BITS = 20
 MARGIN = 11.0  # nats by which the best cipher must beat the text as it is
+SENT_BYTES = 32 << 20  # size of the suspicious words up to which they are sent to the texts; beyond it both sides are shuffled
 PRIOR = 20.0  # texts of a source that the shares over all sources count for
 COST = 6.0  # nats that each letter of a mapping learned from a free start must earn over the whole source
 LEAST_SYMBOLS = 300  # characters that no page explains from which a source gets a free start
@@ -483,7 +484,9 @@ def _rounds(docs: DataFrame, key: str, text: str, source: str):
     weight = F.col("gain") * (1 + F.log("n"))
     while True:
         read = materialise(readings(odd, model))
-        placed = materialise(occurring.join(read.select("word").distinct(), "word").groupBy("doc", "source", "word").agg(F.count("*").alias("n")))
+        suspicious = read.select("word").distinct()
+        held = suspicious.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+        placed = materialise(occurring.join(F.broadcast(suspicious) if held <= SENT_BYTES else suspicious, "word").groupBy("doc", "source", "word").agg(F.count("*").alias("n")))
         known = placed.join(read.where(~F.col("open")), "word").select("doc", "source", "word", "n", "fixed", "gain", "pages")
         open_words = read.where("open")
         mappings = materialise(free_mappings(placed, open_words, model))
