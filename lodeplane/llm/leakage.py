@@ -52,6 +52,10 @@ _ALIKE = str.maketrans(
     "αβεηικνορτυχϲϳոսօⅼгьп",
     "abekmhopctyxijsdqwghvia" "abenikvoptuxcjnsoLrbn".lower(),
 )
+_ALIKE_SIGNS = re.compile("[" + "".join(map(chr, _ALIKE)) + "]")
+_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c)) + "]+")
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+_FAR_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x10000, 0x20000)) if unicodedata.combining(c)) + "]+")  # apart, or the search is slow
 
 
 def _plain(text: str) -> str:
@@ -64,7 +68,9 @@ def _plain(text: str) -> str:
         text = _ESCAPE.sub(" ", text)
     if not text.isascii():
         text = _HIDDEN.sub("", _SOFT.sub("-", text))
-        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold().translate(_ALIKE).replace("\u2010", "-")
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        text = (_FAR_MARKS.sub("", text) if _FAR.search(text) else text).casefold()
+        return (text.translate(_ALIKE) if _ALIKE_SIGNS.search(text) else text).replace("\u2010", "-")
     return text.lower()
 
 
