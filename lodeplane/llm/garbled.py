@@ -87,8 +87,9 @@ def _to_bytes(word: str, page: str) -> bytes | None:
         return None
 
 
+@lru_cache(20_000)
 def _readings(word: str) -> list[tuple[str, str, str]]:
-    """(page read, page written, word restored) of every pair of pages that the word allows."""
+    """(page read, page written, word restored) of every pair of pages that the word allows; later rounds ask again."""
     out = []
     seen: dict[tuple[bytes, str], str | None] = {}
     for page in READ_SINGLE + READ_MULTI:
