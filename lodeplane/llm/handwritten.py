@@ -45,7 +45,7 @@ RUN = r"[A-Za-z0-9+/=_-]{120,}|(?:\\x[0-9a-fA-F]{2}){40,}"
 LAYOUT = {"py": (180, 0.10), "js|mjs|cjs|jsx": (160, 0.10), "ts|tsx": (160, 0.10), "go": (120, 0.10), "java": (160, 0.12), "css": (80, 0.12)}
 OTHER = (240, 0.10)
 LONG_LINE = 400  # least length of the longest line of squeezed code, twice what hand-written code has
-LONG_SHARE = 0.5  # share of the text in such lines from which they decide, whatever the mean
+LONG_SHARE = 0.5  # share of the text in such lines from which their own white space decides, whatever the mean
 LEAST_CHARS = 200
 RUN_SHARE = 0.4  # share of the text in long encoded runs, and
 ALNUM_SHARE = 0.8  # of letters and digits among the visible characters, from which it is data
@@ -64,10 +64,12 @@ def layout(text: Column | str) -> dict[str, Column]:
     n = F.greatest(F.length(text), F.lit(1))
     visible = F.greatest(F.length(F.regexp_replace(text, r"\s+", "")), F.lit(1))
     share = lambda pattern, of: (n - F.length(F.regexp_replace(text, pattern, ""))) / of
+    long = F.regexp_replace(text, f"(?m)^[^\\n]{{0,{LONG_LINE - 1}}}$", "")  # the long lines alone
     ends = F.regexp_instr(text, F.lit("(?m)" + HEAD_ENDS))
     return {
         "chars": F.length(text),
         "long_share": share(f"[^\\n]{{{LONG_LINE},}}", n),
+        "long_blank": F.length(F.regexp_replace(long, r"[^\s]+|\n", "")) / F.greatest(F.length(F.regexp_replace(long, r"\n", "")), F.lit(1)),
         "mean_line": n / F.greatest(F.regexp_count(text, F.lit(r"[^\n]+")), F.lit(1)),
         "blank_share": 1 - visible / n,
         "alnum_share": share(r"[A-Za-z0-9]+", visible),
@@ -80,7 +82,7 @@ def layout(text: Column | str) -> dict[str, Column]:
 
 def _reason(path: Column, s: dict[str, Column]) -> Column:
     def squeezed(mean: float, blank: float) -> Column:
-        return (s["long_share"] > 0) & ((s["mean_line"] >= mean) | (s["long_share"] >= LONG_SHARE)) & (s["blank_share"] <= blank)
+        return (s["long_share"] > 0) & (((s["mean_line"] >= mean) & (s["blank_share"] <= blank)) | ((s["long_share"] >= LONG_SHARE) & (s["long_blank"] <= blank)))
 
     rule = F
     for endings, limits in LAYOUT.items():

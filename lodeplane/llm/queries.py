@@ -76,13 +76,13 @@ WITH roots AS (SELECT DISTINCT repo_id FROM repos WHERE regexp_matches(root_path
 f AS (SELECT DISTINCT file_id, repo_id, coalesce(path, '') AS p, coalesce(content, '') AS c FROM files),
 t AS (SELECT *, replace(replace(regexp_replace(c, '{h.IMAGE}', 'data:', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS x FROM f),
 l AS (SELECT *, string_split(x, chr(10)) AS lines, greatest(length(x), 1) AS n, greatest(length(regexp_replace(x, '\\s+', '', 'g')), 1) AS visible FROM t),
-s AS (SELECT *, length(x) AS chars, n / greatest(len(list_filter(lines, lambda y: length(y) > 0)), 1) AS mean_line, coalesce(list_sum(list_filter(list_transform(lines, lambda y: length(y)), lambda y: y >= {h.LONG_LINE})), 0) / n AS long, 1 - visible / n AS blank, length(regexp_replace(x, '[^0-9]+', '', 'g')) / visible AS digits,
+s AS (SELECT *, length(x) AS chars, n / greatest(len(list_filter(lines, lambda y: length(y) > 0)), 1) AS mean_line, coalesce(list_sum(list_filter(list_transform(lines, lambda y: length(y)), lambda y: y >= {h.LONG_LINE})), 0) / n AS long, length(regexp_replace(array_to_string(list_filter(lines, lambda y: length(y) >= {h.LONG_LINE}), ''), '[^\\s]+', '', 'g')) / greatest(length(array_to_string(list_filter(lines, lambda y: length(y) >= {h.LONG_LINE}), '')), 1) AS long_blank, 1 - visible / n AS blank, length(regexp_replace(x, '[^0-9]+', '', 'g')) / visible AS digits,
  length(regexp_replace(x, '[^A-Za-z0-9]+', '', 'g')) / visible AS alnum, len(regexp_extract_all(x, '\\b[0-9][0-9A-Fa-fxX_.]*\\b')) / greatest(len(regexp_extract_all(x, '\\w+')), 1) AS numbers, 1 - length(regexp_replace(x, '{h.RUN}', '', 'g')) / n AS runs,
  regexp_matches(p, '{h.CODE}') AS code, CASE WHEN regexp_matches(x, '(?m){h.HEAD_ENDS}') THEN regexp_extract(x, '(?s)\\A(.*?)(?m:{h.HEAD_ENDS})', 1) ELSE x END AS head,
  CASE {limits} ELSE {list(h.OTHER)} END AS least FROM l)
 SELECT DISTINCT file_id FROM s WHERE repo_id IN (SELECT repo_id FROM roots WHERE repo_id IS NOT NULL) OR regexp_matches(p, '{h.PLACES}') OR regexp_matches(p, '{h.OUTPUTS}') OR regexp_matches(p, '{h.LOCKED}') OR regexp_matches(p, '{h.NAMES}') OR regexp_matches(head, '{h.TOOL}') OR regexp_matches(head, '{h.COPY}')
 OR (code AND chars >= {h.LEAST_CHARS} AND ((runs >= {h.RUN_SHARE} AND alnum >= {h.ALNUM_SHARE}) OR (digits >= {h.DIGIT_SHARE} AND numbers >= {h.NUMBER_DENSITY})
- OR (long > 0 AND (mean_line >= least[1] OR long >= {h.LONG_SHARE}) AND blank <= least[2])))
+ OR (long > 0 AND ((mean_line >= least[1] AND blank <= least[2]) OR (long >= {h.LONG_SHARE} AND long_blank <= least[2])))))
 """
 
 
