@@ -45,7 +45,7 @@ RUN = r"[A-Za-z0-9+/=_-]{120,}|(?:\\x[0-9a-fA-F]{2}){40,}"
 LAYOUT = {"py": (180, 0.10), "js|mjs|cjs|jsx": (160, 0.10), "ts|tsx": (160, 0.10), "go": (120, 0.10), "java": (160, 0.12), "css": (80, 0.12)}
 OTHER = (240, 0.10)
 LONG_LINE = 400  # least length of the longest line of squeezed code, twice what hand-written code has
-LONG_SHARE = 0.5  # share of the text in such lines from which their own white space decides, whatever the mean
+LONG_SHARE = 0.65  # more than an inlined key makes of a small file; share of the text in such lines from which their own white space decides, whatever the mean
 LEAST_CHARS = 200
 RUN_SHARE = 0.4  # share of the text in long encoded runs, and
 ALNUM_SHARE = 0.8  # of letters and digits among the visible characters, from which it is data
