@@ -56,8 +56,7 @@ SELECT kind, id, score FROM (SELECT kind, id, round(CAST(raw AS DOUBLE) / (SELEC
 
 def r8_similar_routes(spark, d):
     """Entry points like those of webhooks, counted by score."""
-    a = apis(spark, d)
-    return search.similar_routes(a, a.where("webhook")).groupBy("target").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    return search.similar_counts(apis(spark, d), F.col("webhook"))
 
 
 _SHAPE = "array_to_string(list_transform(string_split(route, '/'), lambda s: CASE WHEN starts_with(s, ':') THEN ':p' WHEN regexp_matches(s, '^[A-Za-z0-9_-]+$') THEN 'W' ELSE s END), '/')"

@@ -201,6 +201,44 @@ def test_similar_routes(spark):
     assert got[("r|1", "r|2")] == 0.88 and not any("r|4" in k or "r|3" in k for k in got)
 
 
+def api_table(spark, directory, rows):
+    kinds = "repo_id string, api_id string, method string, route string, file_path string, middlewares array<string>, webhook boolean"
+    rest = {"snapshot_kind": F.lit("working"), **{c: F.lit(None).cast("timestamp_ntz") for c in ("received_at", "first_seen_at", "deleted_at")}, "diff": F.lit(None).cast("string")}
+    spark.createDataFrame(rows, kinds).withColumns(rest).coalesce(1).write.parquet(f"{directory}/apis.parquet")
+
+
+def test_similar_counts_of_odd_rows(spark, tmp_path):
+    """Nulls, ids alike over a bar, repeated and missing middlewares, scores halfway between two roundings."""
+    from lodeplane.plans import q_search
+    from oracle import compare, duck
+
+    rng, many = random.Random(5), [f"m{i}" for i in range(8)]
+    mids = [None, [], ["m"], ["m", "m"], ["m", None], [None], ["n", "m"], many, many[:1], [*many[:5], "n", "m", "x"]]
+    rows = [(rng.choice(["a", "a", "b", "a|b", None]), rng.choice([f"{i}", f"b|{i - 1}"]), rng.choice(["GET", "get", "PUT", None]), rng.choice(["/a", "/a/:x", "/{y}", "", None]), rng.choice(["f", "g", None]), rng.choice(mids), rng.choice([True, False, None])) for i in range(300)]
+    rows += [("a", "b|c", "GET", "/a", "f", ["m"], True), ("a|b", "c", "GET", "/a", "f", ["m"], True)]
+    api_table(spark, tmp_path, rows)
+    assert compare(spark, duck(str(tmp_path)), str(tmp_path), "r8", q_search.r8_similar_routes, q_search.SQL["r8_similar_routes"]) == ""
+    with pytest.raises(ValueError):
+        search.similar_counts(spark.read.parquet(f"{tmp_path}/apis.parquet"), F.col("webhook"), 0.05)
+
+
+def test_similar_counts_shuffle_no_pairs(spark, tmp_path):
+    """400 of 4,000 equal entry points have 1.6 million pairs."""
+    from lodeplane.plans import q_search
+
+    api_table(spark, tmp_path, [("r", f"{i}", "GET", f"/a/{i}", f"{i}", ["auth", "audit"], i % 10 == 0) for i in range(4000)])
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        each = context.statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    before = shuffled()
+    assert {(r.n, r.best) for r in q_search.r8_similar_routes(spark, str(tmp_path)).collect()} == {(3999, 0.8)}
+    assert shuffled() - before < 4_000_000
+
+
 def test_coverage_and_diff_readers(spark):
     t = spark.createDataFrame([(1, "TN:\nSF:a.ts\nFN:1,f\nFNDA:3,f\nLH:1\nLF:2\nend_of_record\nSF:b.ts\nFNDA:0,g\nLF:0\nLH:0\nend_of_record\n"), (2, "")], "k int, t string")
     f, fn = formats.lcov(t, "k", "t")
